@@ -1,7 +1,7 @@
 """Exact ids of a word-end BPE tokenizer file, fast over Arrow batches.
 
-The tokenizer's model is asked once for each different word; words are found and compared by array
-operations on the bytes. This path takes texts of ASCII and the letters of the Latin-1 block, for
+The tokenizer's model is asked once for each different word; words are found by array operations on
+the bytes and known by 64-bit hashes (two of a million words share one with a chance of 1e-7). This path takes texts of ASCII and the letters of the Latin-1 block, for
 which NFC changes nothing and lower-casing is a fixed shift. Any other text, and texts that hold the
 string of a special token, go through the tokenizer itself.
 """
@@ -26,6 +26,7 @@ _upper = (_b >= 65) & (_b <= 90)
 PIECE = 1 << 22
 #: Words kept in a worker's memory before it starts anew.
 MEMO = 1_500_000
+SLOTS, SHIFT = 1 << 22, np.uint64(42)
 
 
 def byte_chars() -> list[str]:
@@ -48,34 +49,48 @@ class WordBpe:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = 0
+        self.hashes, self.numbers = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
         self.flat, self.n = np.zeros(1 << 16, np.uint32), 0
         self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
-    def _words(self, words: list[bytes]) -> np.ndarray:
-        """The number of each word; new words are tokenised and remembered."""
-        found = list(map(self.known.get, words))
-        new = [i for i, k in enumerate(found) if k is None]
-        if new:
-            ids, lens, known, tokenize, chars = [], [], self.known, self.model.tokenize, self.chars
-            base = len(known)
-            for i in new:
-                w = words[i]
-                if (k := known.get(w)) is None:
-                    t = tokenize(w.decode() if w.isascii() and w.isalnum() else "".join([chars[x] for x in w]))
-                    ids += [x.id for x in t]
-                    lens.append(len(t))
-                    k = known[w] = len(known)
-                found[i] = k
-            if len(known) > len(self.first):
-                self.first, self.count = np.resize(self.first, 2 * len(known)), np.resize(self.count, 2 * len(known))
-            if self.n + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * (self.n + len(ids)))
-            ends = self.n + np.cumsum(lens)
-            self.first[base : len(known)], self.count[base : len(known)] = ends - lens, lens
-            self.flat[self.n : self.n + len(ids)] = ids
-            self.n += len(ids)
-        return np.array(found, np.int64)
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each word by its hash, -1 if it is new: open addressing, all words at once."""
+        slot = (h >> SHIFT).astype(np.int64)
+        out = np.where(self.hashes[slot] == h, self.numbers[slot], -1)
+        todo = np.flatnonzero((out < 0) & (self.hashes[slot] != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) % SLOTS
+            have = self.hashes[slot[todo]]
+            hit = have == h[todo]
+            out[todo[hit]] = self.numbers[slot[todo[hit]]]
+            todo = todo[~hit & (have != 0)]
+        return out
+
+    def _learn(self, h: np.ndarray, words: list[bytes]) -> None:
+        """Tokenise and remember words, each with another hash."""
+        ids, lens, tokenize, chars = [], [], self.model.tokenize, self.chars
+        for w in words:
+            t = tokenize(w.decode() if w.isascii() and w.isalnum() else "".join([chars[x] for x in w]))
+            ids += [x.id for x in t]
+            lens.append(len(t))
+        base, self.known = self.known, self.known + len(words)
+        if self.known > len(self.first):
+            self.first, self.count = np.resize(self.first, 2 * self.known), np.resize(self.count, 2 * self.known)
+        if self.n + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.n + len(ids)))
+        ends = self.n + np.cumsum(lens)
+        self.first[base : self.known], self.count[base : self.known] = ends - lens, lens
+        self.flat[self.n : self.n + len(ids)] = ids
+        self.n += len(ids)
+        slot, todo = (h >> SHIFT).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            free = np.flatnonzero(self.hashes[slot[todo]] == 0)
+            _, one = np.unique(slot[todo[free]], return_index=True)
+            put = todo[free[one]]
+            self.hashes[slot[put]], self.numbers[slot[put]] = h[put], base + put
+            todo = np.setdiff1d(todo, put, assume_unique=True)
+            slot[todo] = (slot[todo] + 1) % SLOTS
 
     def _plain(self, off: np.ndarray, data: np.ndarray) -> np.ndarray:
         """Which texts the fast path may take."""
@@ -127,7 +142,7 @@ class WordBpe:
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, where each text's ids begin and end)."""
-        if len(self.known) > MEMO:
+        if self.known > MEMO:
             self._forget()
         off, data = buffers(col)
         n = len(off) - 1
@@ -146,14 +161,14 @@ class WordBpe:
             s, e = self._split(low, begins)
             if not len(s):
                 continue
-            h = span_hash(low, s, e)
-            _, first, inv = np.unique(h, return_index=True, return_inverse=True)
-            check = span_hash(low, s, e, 1)
-            whole = low.tobytes()
-            if (check[first][inv] == check).all():
-                word = self._words([whole[a:b] for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)])[inv]
-            else:
-                word = self._words([whole[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)])
+            h = span_hash(low, s, e) | np.uint64(1)
+            word = self._find(h)
+            new = np.flatnonzero(word < 0)
+            if len(new):
+                fresh, one = np.unique(h[new], return_index=True)
+                whole = low.tobytes()
+                self._learn(fresh, [whole[a:b] for a, b in zip(s[new[one]].tolist(), e[new[one]].tolist(), strict=True)])
+                word[new] = self._find(h[new])
             keys.append(word)
             rows.append(which[np.searchsorted(begins, s, "right") - 1])
         word = np.concatenate(keys) if keys else np.zeros(0, np.int64)
