@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, prepare, table
 
-DEGREE, TREES, LEAF, SAMPLE, ROUNDS = 20, 4, 400, 20_000, 2
+DEGREE, TREES, LEAF, SAMPLE, ROUNDS = 24, 4, 1000, 20_000, 2
+#: Reverse links that a search may follow from a node, the nearest first.
+BACK = 48
 #: Neighbours, and as many reverse ones, that a node brings together in a round.
 MEET = 12
-BEAM, HOPS, EXPAND, TOP = 96, 7, 12, 10
+BEAM, HOPS, EXPAND, TOP = 128, 8, 24, 10
 _NB = "array<struct<d:float,n:bigint>>"
 
 
@@ -187,7 +189,7 @@ def square(a: str, b: str) -> Column:
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, hops: int = HOPS, expand: int = EXPAND) -> DataFrame:
     """(q, beam) of queries (q, node, v): nodes met, nearest first, the query's own included."""
     out = graph.select("id", F.explode("nb").alias("e")).select("id", F.col("e.n").alias("n"), F.col("e.d").alias("d"))
-    back = first_of(out.select(F.col("n").alias("id"), F.col("id").alias("n"), "d"), "id", [F.col("d"), F.col("n")], DEGREE)
+    back = first_of(out.select(F.col("n").alias("id"), F.col("id").alias("n"), "d"), "id", [F.col("d"), F.col("n")], BACK)
     links = cut(out.select("id", "n").union(back.select("id", "n")).groupBy("id").agg(F.collect_set("n").alias("ns")))
     kind = "array<struct<d:double,n:bigint,x:boolean>>"
     own = F.array(F.struct(F.lit(0.0).alias("d"), F.col("node").alias("n"), F.lit(False).alias("x"))).cast(kind)
