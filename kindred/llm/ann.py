@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, prepare, table
 
-DEGREE, TREES, LEAF, SAMPLE, ROUNDS = 24, 4, 1000, 20_000, 2
+DEGREE, TREES, LEAF, SAMPLE, ROUNDS = 24, 4, 1000, 20_000, 3
 #: Reverse links that a search may follow from a node, the nearest first.
 BACK = 48
 #: Neighbours, and as many reverse ones, that a node brings together in a round.
 MEET = 12
-BEAM, HOPS, EXPAND, TOP = 128, 8, 24, 10
+#: Up to so many queries are sent to where the vectors are; more meet them by a shuffle.
+BLOCK = 20_000
+BEAM, HOPS, EXPAND, TOP = 256, 12, 64, 10
 _NB = "array<struct<d:float,n:bigint>>"
 
 
@@ -194,13 +196,15 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
     kind = "array<struct<d:double,n:bigint,x:boolean>>"
     own = F.array(F.struct(F.lit(0.0).alias("d"), F.col("node").alias("n"), F.lit(False).alias("x"))).cast(kind)
     state = cut(queries.select("q", "v", own.alias("beam")))
+    few = state.count() <= BLOCK
     for _ in range(hops):
         todo = F.slice(F.filter("beam", lambda b: ~b["x"]), 1, expand)
         open_ = state.select("q", F.explode(F.transform(todo, lambda b: b["n"])).alias("id"))
         met = open_.join(links, "id").select("q", F.explode("ns").alias("id")).distinct()
         seen = state.select("q", "v", F.transform("beam", lambda b: b["n"]).alias("have"))
-        fresh = met.join(seen, "q").where(~F.array_contains("have", F.col("id"))).select("q", "id", "v")
-        scored = fresh.join(nodes.select("id", F.col("v").alias("w")), "id").select("q", F.struct(square("v", "w").alias("d"), F.col("id").alias("n"), F.lit(False).alias("x")).alias("b"))
+        near = met.join(nodes.select("id", F.col("v").alias("w")), "id")
+        fresh = near.join(F.broadcast(seen) if few else seen, "q").where(~F.array_contains("have", F.col("id")))
+        scored = fresh.select("q", F.struct(square("v", "w").alias("d"), F.col("id").alias("n"), F.lit(False).alias("x")).alias("b"))
         found = scored.groupBy("q").agg(F.collect_list("b").alias("new"))
         state = state.withColumn("todo", F.transform(todo, lambda b: b["n"]))
         done = F.transform("beam", lambda b: F.struct(b["d"].alias("d"), b["n"].alias("n"), (b["x"] | F.array_contains("todo", b["n"])).alias("x")))

@@ -2,9 +2,9 @@
 
 Test items are cut into windows of words. Corpus counts of the test terms order each window's terms by
 rarity; a window with a term that the corpus lacks can't occur. Postings (document, term, position) of
-the two rarest terms of the windows are stored; the list of the rarest term, shifted by its offset,
-gives starts, which are intersected with the shifted list of the second. What is left is checked word
-for word against the document, and windows' places are merged into hit words.
+the two rarest terms of the windows are stored; the list of the rarest term, shifted by its offset, is
+intersected with the shifted list of the second. Postings of rarest terms keep the words around them,
+by which what is left is checked word for word; windows' places are then merged into hit words.
 
 Defined cases: null texts have no words; items without words have no windows; a null item_id is not
 reported; rows of equal doc_id and text are judged once and reported each; empty tables give clean
@@ -51,11 +51,14 @@ def corpus_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(terms, "term")
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(d1, d2, term, pos) of each place of the terms, positions from 0."""
-    words = docs.select(*doc_key(), F.posexplode(raw_words("text")).alias("pos", "t")).select("d1", "d2", ascii_lower("t").alias("term"), "pos")
+def postings(docs: DataFrame, terms: DataFrame, around: int = 0) -> DataFrame:
+    """(d1, d2, term, pos, near) of each place of the terms (term, lead), positions from 0. `near` are the
+    words up to `around` before and after it as they stand, for leading terms only. Repeated rows repeat."""
+    words = docs.select(*doc_key(), raw_words("text").alias("ws")).select("*", F.posexplode("ws").alias("pos", "t")).select("d1", "d2", "ws", ascii_lower("t").alias("term"), "pos")
     small = terms.count() <= SMALL
-    return words.join(F.broadcast(terms) if small else terms, "term").select("d1", "d2", "term", "pos").distinct()
+    first = F.greatest(F.col("pos") - around, F.lit(0))
+    near = F.when(F.col("lead"), F.slice("ws", first + 1, F.col("pos") - first + around + 1))
+    return words.join(F.broadcast(terms) if small else terms, "term").select("d1", "d2", "term", "pos", near.alias("near"))
 
 
 def by_rarity(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -66,29 +69,32 @@ def by_rarity(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def candidates(index: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(d1, d2, w, start): starts that the lists of a window's two rarest terms agree on."""
-    first = ranked.where("r = 1").select("w", "n", "term", "off")
+    """(d1, d2, w, term, pos): places of a window's rarest term where the second rarest stands as it should."""
+    first = ranked.where("r = 1").select("w", "term", "off")
     second = ranked.where("r = 2").select("w", F.col("term").alias("term2"), F.col("off").alias("off2"))
-    need = first.join(second, "w", "left")
-    starts = index.join(need, "term").select("d1", "d2", "w", (F.col("pos") - F.col("off")).alias("start"), "term2", "off2").where("start >= 0")
-    alone = starts.where("term2 is null").select("d1", "d2", "w", "start")
-    pairs = starts.where("term2 is not null").select("d1", "d2", "w", "start", F.col("term2").alias("term"), (F.col("start") + F.col("off2")).alias("pos"))
-    return alone.union(pairs.join(index, ["d1", "d2", "term", "pos"]).select("d1", "d2", "w", "start"))
+    need = cut(first.join(second, "w", "left").withColumn("id", F.xxhash64("w")))
+    starts = index.join(need.drop("w"), "term").where(F.col("pos") >= F.col("off"))
+    alone = starts.where("term2 is null").select("d1", "d2", "id", "term", "pos")
+    pairs = starts.where("term2 is not null").select("d1", "d2", "id", F.col("term").alias("lead"), F.col("pos").alias("at"), F.col("term2").alias("term"), (F.col("pos") - F.col("off") + F.col("off2")).alias("pos"))
+    both = pairs.join(index, ["d1", "d2", "term", "pos"]).select("d1", "d2", "id", F.col("lead").alias("term"), F.col("at").alias("pos"))
+    return alone.union(both).join(need.select("id", "w", "term", "off"), ["id", "term"]).select("d1", "d2", "w", "term", "pos", "off")
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(d1, d2, spans): by document, the exact occurrences (start, n, w) of windows; and (w, item)."""
     windows, owners = item_windows(items, size)
     terms = cut(windows.select(F.explode(F.split("w", " ")).alias("term")).distinct())
-    counts = cut(corpus_counts(docs, terms))
-    ranked = cut(by_rarity(windows, counts))
-    rare = cut(ranked.where("r <= 2").select("term").distinct())
-    index = cut(postings(docs, rare))
-    found = cut(candidates(index, ranked).groupBy("d1", "d2").agg(F.collect_set(F.struct("start", "w")).alias("c")))
-    texts = docs.select(*doc_key(), "text").join(found, ["d1", "d2"]).select("d1", "d2", "c", F.transform(raw_words("text"), ascii_lower).alias("ws"))
-    exact = F.filter("c", lambda c: F.array_join(F.slice("ws", c["start"] + 1, F.size(F.split(c["w"], " "))), " ") == c["w"])
-    spans = texts.select("d1", "d2", F.array_sort(F.transform(exact, lambda c: F.struct(c["start"].alias("start"), F.size(F.split(c["w"], " ")).alias("n"), c["w"].alias("w")))).alias("spans"))
-    return cut(spans.where(F.size("spans") > 0).dropDuplicates(["d1", "d2"])), owners
+    ranked = cut(by_rarity(windows, cut(corpus_counts(docs, terms))))
+    rare = cut(ranked.where("r <= 2").groupBy("term").agg(F.max(F.col("r") == 1).alias("lead")))
+    stored = cut(postings(docs, rare, size - 1))
+    index = stored.select("d1", "d2", "term", "pos").distinct()
+    found = candidates(index, ranked).join(stored.where("near is not null"), ["d1", "d2", "term", "pos"])
+    # The words around the rarest term decide the rest of the phrase.
+    before = F.least(F.col("pos"), F.lit(size - 1))
+    n = F.size(F.split("w", " "))
+    text = F.array_join(F.transform(F.slice("near", before - F.col("off") + 1, n), ascii_lower), " ")
+    exact = found.where(text == F.col("w")).select("d1", "d2", F.struct((F.col("pos") - F.col("off")).alias("start"), n.alias("n"), "w").alias("s"))
+    return cut(exact.groupBy("d1", "d2").agg(F.array_sort(F.collect_set("s")).alias("spans"))), owners
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, size: int = WINDOW) -> DataFrame:
@@ -97,7 +103,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, size: int =
     windows, _ = item_windows(items, size)
     terms = cut(windows.select(F.explode(F.split("w", " ")).alias("term")).distinct())
     ranked = cut(by_rarity(windows, cut(corpus_counts(docs, terms))))
-    index = cut(postings(docs, ranked.select("term").distinct()))
+    index = cut(postings(docs, ranked.select("term", F.lit(False).alias("lead")).distinct()).drop("near").distinct())
     anchors = index.join(ranked.where("r = 1").select("w", "term"), "term").select("d1", "d2", "w", F.col("pos").alias("start"))
     others = ranked.select("w", "term").distinct()
     need = others.groupBy("w").agg(F.count(F.lit(1)).alias("need"))
