@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, fresh, table
 
-#: Words of the text as it stands; they are lower-cased one by one.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What is in no word, character by character: Java looks single characters up in a table but tests ranges
+#: one after the other, which takes five times as long.
+_OUTSIDE = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+#: Words of the text as it stands, which are lower-cased one by one, and what parts them.
+WORD, BETWEEN = f"[^{_OUTSIDE}]+", f"[{_OUTSIDE}]+"
 WINDOW = 10
 #: Up to so many different test terms are sent to where the texts are; more are joined after counting.
 SMALL = 100_000
@@ -29,6 +32,17 @@ def raw_words(text: str) -> Column:
     return F.regexp_extract_all(F.col(text).cast("string"), F.lit(WORD), F.lit(0))
 
 
+def split_words(text: str) -> Column:
+    """The words; the first and the last may be '' besides, which shifts positions alike in a document."""
+    return F.split(F.col(text).cast("string"), BETWEEN)
+
+
+def word_count(words: str) -> Column:
+    """How many of split_words() are words; null texts have none."""
+    blank = lambda at: (F.element_at(words, at) == "").cast("int")
+    return F.coalesce(F.greatest(F.size(words) - blank(1) - blank(-1), F.lit(0)), F.lit(0)).cast("long")
+
+
 def doc_key() -> list[Column]:
     """128 bits that tell documents apart, null or repeated ids included."""
     return [F.xxhash64("doc_id", "text").alias("d1"), F.xxhash64("text", F.lit("key")).alias("d2")]
@@ -45,7 +59,7 @@ def item_windows(items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataF
 
 def corpus_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, df): how often each test term stands in the documents."""
-    words = docs.select(F.explode(raw_words("text")).alias("t")).select(ascii_lower("t").alias("term"))
+    words = docs.select(F.explode(split_words("text")).alias("t")).select(ascii_lower("t").alias("term"))
     if terms.count() <= SMALL:
         return words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(terms, "term")
@@ -53,11 +67,11 @@ def corpus_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, terms: DataFrame, around: int = 0) -> DataFrame:
     """(d1, d2, term, pos, near) of each place of the terms (term, lead), positions from 0. `near` are the
-    words up to `around` before and after it as they stand, for leading terms only. Repeated rows repeat."""
-    words = docs.select(*doc_key(), raw_words("text").alias("ws")).select("*", F.posexplode("ws").alias("pos", "t")).select("d1", "d2", "ws", ascii_lower("t").alias("term"), "pos")
+    words up to `around` before and after it as they stand, joined by blanks, for leading terms only. Repeated rows repeat."""
+    words = docs.select(*doc_key(), split_words("text").alias("ws")).select("*", F.posexplode("ws").alias("pos", "t")).select("d1", "d2", "ws", ascii_lower("t").alias("term"), "pos")
     small = terms.count() <= SMALL
     first = F.greatest(F.col("pos") - around, F.lit(0))
-    near = F.when(F.col("lead"), F.slice("ws", first + 1, F.col("pos") - first + around + 1))
+    near = F.when(F.col("lead"), F.array_join(F.slice("ws", first + 1, F.col("pos") - first + around + 1), " "))
     return words.join(F.broadcast(terms) if small else terms, "term").select("d1", "d2", "term", "pos", near.alias("near"))
 
 
@@ -92,7 +106,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> tup
     # The words around the rarest term decide the rest of the phrase.
     before = F.least(F.col("pos"), F.lit(size - 1))
     n = F.size(F.split("w", " "))
-    text = F.array_join(F.transform(F.slice("near", before - F.col("off") + 1, n), ascii_lower), " ")
+    text = F.array_join(F.transform(F.slice(F.split("near", " "), before - F.col("off") + 1, n), ascii_lower), " ")
     exact = found.where(text == F.col("w")).select("d1", "d2", F.struct((F.col("pos") - F.col("off")).alias("start"), n.alias("n"), "w").alias("s"))
     return cut(exact.groupBy("d1", "d2").agg(F.array_sort(F.collect_set("s")).alias("spans"))), owners
 
@@ -124,7 +138,7 @@ def judge(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     spans, owners = phrase_matches(docs, items, size)
     named = spans.select("d1", "d2", F.explode(F.array_distinct(F.col("spans.w"))).alias("w")).join(owners, "w").groupBy("d1", "d2").agg(F.array_sort(F.collect_set("item")).alias("items"))
     hits = spans.select("d1", "d2", hit_words("spans").alias("hit")).join(named, ["d1", "d2"])
-    each = docs.select("doc_id", *doc_key(), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    each = docs.select("doc_id", *doc_key(), split_words("text").alias("ws")).select("doc_id", "d1", "d2", word_count("ws").alias("n_words"))
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     hit = F.coalesce("hit", F.lit(0)).cast("long")
     return each.join(hits, ["d1", "d2"], "left").select("doc_id", "n_words", hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))

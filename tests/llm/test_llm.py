@@ -116,7 +116,7 @@ def test_decontamination_equals_brute_force(spark):
     import re
 
     items = [(1, SAY(30)), (2, "ru po"), (None, SAY(12)), (4, None), (5, ""), (11, SAY(12))]
-    texts = [*TEXTS, "x. " + items[0][1].upper() + " y", items[0][1][:60], "Ru, po! ru po", items[-1][1] + " " + items[-1][1]]
+    texts = [*TEXTS, "x. " + items[0][1].upper() + " y", items[0][1][:60], "Ru, po! ru po", "... " + items[0][1] + "!", "?!", ". one", items[-1][1] + " " + items[-1][1]]
     got = {r.doc_id: r for r in decontam.judge(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).where("doc_id is not null").collect()}
     find = lambda t: [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
     for i, t in enumerate(texts):
