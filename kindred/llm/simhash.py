@@ -12,6 +12,8 @@ members meet under such keys, at most 65 to a key. Nothing is dropped and no cel
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; equal
 fingerprints are one node; a component whose ids are all null has a null id; repeated rows share
 their component; columns beside doc_id and text are ignored by the query and kept by the stage.
+
+All this is the query's. The pipeline's stage keeps one text of those with like sets of five-word runs (nearcopies).
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh, prepare, table
 from .components import connected_components
+from .nearcopies import components, run_sets
 
 SHINGLE, SEED, BITS = 3, 42, 2
 CELL = 32
@@ -114,9 +117,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the smallest id's; of several texts under it, that of the smallest hash."""
-    fps = cut(fingerprints(docs))
-    at = fps.join(roots(fps.drop("th")), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """One document of each component of near copies: the smallest id's; of several texts under it, that of the smallest hash."""
+    sets = cut(run_sets(docs))
+    rooted = cut(sets.select("doc_id", "th", "node").join(components(sets), "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    at = rooted.join(least, "root").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = cut(at.groupBy("root").agg(F.min("doc_id").alias("k_id"), F.min("th").alias("k_th"), F.count(F.lit(1)).alias("k_n")))
     h = fresh(docs, "text_hash")
     rows = docs.withColumn(h, F.xxhash64("text"))

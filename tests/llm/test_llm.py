@@ -10,7 +10,7 @@ import pytest
 pytest.importorskip("kindred.llm.entry")
 from pyspark.sql import functions as F
 
-from kindred.llm import ann, components, decontam, lengths, packing, quality, sharding, simhash, toxicity, urltree, warc
+from kindred.llm import ann, components, decontam, lengths, nearcopies, packing, quality, sharding, simhash, toxicity, urltree, warc
 from kindred.llm.wordbpe import default_path, encoder
 
 DOC = "doc_id long, text string, lang string, source string, score double, length long"
@@ -169,6 +169,54 @@ def test_url_rules_and_templates(spark):
     assert {r.verdict for r in judged if r.page_id >= 100} == {"block"} or {r.template for r in judged if r.page_id >= 100} == {"/p/*"}
 
 
+def five_word_runs(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_copies():
+    r = random.Random(8)
+    line = [f"line{k}" for k in range(12)]
+    out = []
+    for g in range(12):
+        base = [f"{r.choice(WORDS)}{r.randrange(9)}" for _ in range(200 if g == 0 else r.choice([8, 30, 80, 200]))]
+        for c in range(14 if g == 0 else 3):
+            w = list(base)
+            for k in r.sample(range(len(w)), min(len(w), c % 5)):
+                w[k] = f"new{r.randrange(10**6)}"
+            out.append(" ".join((line if g % 2 else []) + w))
+    return out + ["", "  ", "one two", "One two", "one two three"]
+
+
+@pytest.mark.parametrize("cell", [1, 3, 32])
+def test_near_copies_equal_brute_force(spark, cell):
+    texts = near_copies()
+    sets = [five_word_runs(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    rows = nearcopies.run_sets(docs(spark, texts, False)).localCheckpoint()
+    roots = {x.node: x.root for x in nearcopies.components(rows, cell).collect()}
+    got = {r.doc_id: roots.get(r.node, r.node) for r in rows.collect()}
+    assert all((got[a] == got[b]) == (root(a) == root(b)) for a in got for b in got)
+    assert len({root(a) for a in got}) < len({frozenset(x) for x in sets}) - 12
+
+
+def test_stage_drops_near_copies(spark):
+    texts = near_copies()
+    firsts = [i for i, t in enumerate(texts) if not any(five_word_runs(t) == five_word_runs(u) or len(five_word_runs(t) & five_word_runs(u)) >= 0.8 * len(five_word_runs(t) | five_word_runs(u)) for u in texts[:i])]
+    kept = [r.doc_id for r in simhash.stage(spark, docs(spark, texts, False), "").collect()]
+    assert len(kept) == len(set(kept)) and set(kept) <= set(firsts)
+
+
 def test_neighbours_against_brute_force(spark):
     r = np.random.default_rng(1)
     v = r.standard_normal((600, 8)).astype(np.float32)
