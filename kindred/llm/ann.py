@@ -1,10 +1,12 @@
 """Approximate nearest neighbours: NN-descent builds a neighbour graph, greedy search walks it.
 
 Different vectors are the nodes; equal ones share a node. Lists start from exact neighbours inside small
-blocks (leaves of random-hyperplane trees fitted on a bounded sample, all rows assigned). Rounds of
-NN-descent then bring each node's neighbours and reverse neighbours together by joins, and every pair of
-them is compared there. A query starts at its own node and expands the nearest unexpanded nodes of its
-beam, a few for each hop, for all queries at once. Found vectors are scored exactly.
+blocks (leaves of random-hyperplane trees fitted on a bounded sample, all rows assigned; leaves that are
+still large are halved by further hyperplanes). Rounds of NN-descent then bring each node's neighbours and
+reverse neighbours together by joins, and every pair of them is compared there, until a round changes less
+than a share of DELTA of all neighbours. A query starts at its own node and expands the nearest unexpanded
+nodes of its beam, a few for each hop, for all queries at once, until all beams are expanded. Found vectors
+are scored exactly.
 
 Defined cases: vectors that are null or zero, hold null, NaN or infinity, or are not of the most common
 length take no part, nor rows with a null vec_id; of rows with one vec_id the smallest vector counts;
@@ -14,6 +16,9 @@ gives no rows; columns beside vec_id and embedding are ignored.
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,14 +26,16 @@ from pyspark.sql import functions as F
 
 from .common import cut, prepare, table
 
-DEGREE, TREES, LEAF, SAMPLE, ROUNDS = 24, 4, 1000, 20_000, 3
+DEGREE, TREES, LEAF, SAMPLE = 24, 4, 1000, 20_000
+#: NN-descent ends with the first round that changes less than this share of the neighbours.
+DELTA = 0.01
 #: Reverse links that a search may follow from a node, the nearest first.
 BACK = 48
 #: Neighbours, and as many reverse ones, that a node brings together in a round.
 MEET = 12
 #: Up to so many queries are sent to where the vectors are; more meet them by a shuffle.
 BLOCK = 20_000
-BEAM, HOPS, EXPAND, TOP = 256, 12, 64, 10
+BEAM, EXPAND, TOP = 256, 64, 10
 _NB = "array<struct<d:float,n:bigint>>"
 
 
@@ -85,6 +92,35 @@ def neighbour_lists(ids: np.ndarray, rows: np.ndarray, near: np.ndarray, d: np.n
     return pa.RecordBatch.from_arrays([pa.array(ids[rows]), nb], ["id", "nb"])
 
 
+def halved(placed: DataFrame, leaf: int, seed: int = 11) -> DataFrame | None:
+    """(tree, id, part) of rows (tree, leaf, id, v) in leaves of over 1.25 x leaf rows: halved by hyperplanes through
+    the medians until no part is larger. None if there are none."""
+
+    def over(rows):
+        return F.broadcast(rows.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1.25 * leaf).select("tree", "leaf"))  # a row for each large part
+
+    def project(batches):
+        for b in batches:
+            tree, at, v = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(3))
+            p = np.zeros(len(v))
+            for t, k in set(zip(tree.tolist(), at.tolist(), strict=True)):
+                mine = (tree == t) & (at == k)
+                p[mine] = v[mine] @ np.random.default_rng([seed, t, k]).standard_normal(v.shape[1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], ["tree", "leaf", "id", "v", "p"])
+
+    done, rest = [], cut(placed.join(over(placed), ["tree", "leaf"]).select("tree", "leaf", "id", "v"))
+    while not rest.isEmpty():
+        sided = cut(rest.mapInArrow(project, "tree int, leaf long, id long, v array<double>, p double"))
+        mids = sided.groupBy("tree", "leaf").agg(F.percentile_approx("p", 0.5, 1000).alias("mid"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+        with_mid = sided.join(F.broadcast(mids), ["tree", "leaf"])  # a row for each large part
+        up = (F.col("p") > F.col("mid")) | ((F.col("mid") == F.col("hi")) & (F.col("p") == F.col("hi")))
+        halves = cut(with_mid.select("tree", (2 * F.col("leaf") + 1 + up.cast("int")).alias("leaf"), "id", "v", (F.col("lo") < F.col("hi")).alias("apart")))
+        large = over(halves.where("apart"))  # what no hyperplane tells apart stays together
+        done.append(halves.join(large, ["tree", "leaf"], "left_anti").select("tree", "id", F.col("leaf").alias("part")))
+        rest = cut(halves.join(large, ["tree", "leaf"]).select("tree", "leaf", "id", "v"))
+    return functools.reduce(DataFrame.union, done) if done else None
+
+
 def start_lists(nodes: DataFrame, n: int, degree: int, leaf: int) -> DataFrame:
     """(id, nb): exact nearest of each node inside its blocks."""
     spark = nodes.sparkSession
@@ -101,8 +137,8 @@ def start_lists(nodes: DataFrame, n: int, degree: int, leaf: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(at), b.column(0), b.column(1)], ["tree", "leaf", "id", "v"])
 
     placed = nodes.select("id", "v").mapInArrow(assign, "tree int, leaf long, id long, v array<double>")
-    sizes = placed.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(1.25 * leaf)).alias("parts"))
-    blocks = placed.join(F.broadcast(sizes), ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))  # sizes: at most trees * SAMPLE / 16 rows
+    parts = halved(placed, leaf)
+    blocks = placed.withColumn("part", F.col("leaf")) if parts is None else placed.join(parts, ["tree", "id"], "left").withColumn("part", F.coalesce("part", "leaf"))
 
     def knn(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -120,7 +156,7 @@ def start_lists(nodes: DataFrame, n: int, degree: int, leaf: int) -> DataFrame:
         d = gaps(v, np.repeat(rows, k), near.ravel())
         return pa.Table.from_batches([neighbour_lists(ids, rows, near.ravel(), d, np.full(m, k))])
 
-    return blocks.groupBy("tree", "leaf", "part").applyInArrow(knn, f"id long, nb {_NB}")
+    return blocks.select("tree", "leaf", "id", "v", "part").groupBy("tree", "part").applyInArrow(knn, f"id long, nb {_NB}")
 
 
 def nearest(lists: DataFrame, degree: int) -> DataFrame:
@@ -175,21 +211,33 @@ def descend(nodes: DataFrame, graph: DataFrame, degree: int, meet: int, turn: in
     return nearest(graph.unionByName(better), degree)
 
 
-def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, leaf: int = LEAF) -> DataFrame:
-    """(id, nb) of every node (id, v): its nearest found, nearest first."""
+def changed(old: DataFrame, new: DataFrame) -> float:
+    """Share of the neighbours in `new` that `old` lacks."""
+    of = lambda c: F.transform(c, lambda e: e["n"])
+    both = new.join(old.select("id", F.col("nb").alias("had")), "id", "left")
+    fresh = F.size(F.array_except(of("nb"), F.coalesce(of("had"), F.array().cast("array<bigint>"))))
+    n, m = both.agg(F.sum(fresh), F.sum(F.size("nb"))).collect()[0]
+    return n / m if m else 0.0
+
+
+def build_graph(nodes: DataFrame, degree: int = DEGREE, delta: float = DELTA, leaf: int = LEAF) -> DataFrame:
+    """(id, nb) of every node (id, v): its nearest found, nearest first. Lists only get nearer, so rounds end."""
     prepare(nodes.sparkSession)
     graph = cut(nearest(start_lists(nodes, nodes.count(), degree, leaf), degree))
-    for turn in range(rounds):
-        graph = cut(descend(nodes, graph, degree, MEET, turn))
-    return graph
+    for turn in itertools.count():
+        old, graph = graph, cut(descend(nodes, graph, degree, MEET, turn))
+        if changed(old, graph) < delta:
+            return graph
 
 
 def square(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, hops: int = HOPS, expand: int = EXPAND) -> DataFrame:
-    """(q, beam) of queries (q, node, v): nodes met, nearest first, the query's own included."""
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
+    """(q, beam) of queries (q, node, v): nodes met, nearest first, the query's own included; all are expanded.
+
+    A beam's farthest only gets nearer, so no node is expanded twice and the hops end."""
     out = graph.select("id", F.explode("nb").alias("e")).select("id", F.col("e.n").alias("n"), F.col("e.d").alias("d"))
     back = first_of(out.select(F.col("n").alias("id"), F.col("id").alias("n"), "d"), "id", [F.col("d"), F.col("n")], BACK)
     links = cut(out.select("id", "n").union(back.select("id", "n")).groupBy("id").agg(F.collect_set("n").alias("ns")))
@@ -197,7 +245,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
     own = F.array(F.struct(F.lit(0.0).alias("d"), F.col("node").alias("n"), F.lit(False).alias("x"))).cast(kind)
     state = cut(queries.select("q", "v", own.alias("beam")))
     few = state.count() <= BLOCK
-    for _ in range(hops):
+    while not state.where(F.exists("beam", lambda b: ~b["x"])).isEmpty():
         todo = F.slice(F.filter("beam", lambda b: ~b["x"]), 1, expand)
         open_ = state.select("q", F.explode(F.transform(todo, lambda b: b["n"])).alias("id"))
         met = open_.join(links, "id").select("q", F.explode("ns").alias("id")).distinct()

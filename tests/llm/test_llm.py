@@ -235,6 +235,24 @@ def test_neighbours_against_brute_force(spark):
     assert hit >= 0.9 * 60 and {x.query_id for x in got} == set(range(0, 600, 100))
 
 
+def test_large_leaves_keep_neighbours_together(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 64)  # four leaves at most
+    v = np.random.default_rng(2).standard_normal((1600, 2))
+    nodes = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").localCheckpoint()
+    got = {r.id: {e["n"] for e in r.nb} for r in ann.nearest(ann.start_lists(nodes, 1600, 8, 40), 8).collect()}
+    d = ((v[:, None] - v[None]) ** 2).sum(-1) + np.diag([np.inf] * 1600)
+    assert np.mean([len(got[i] & set(np.argsort(d[i])[:8].tolist())) / 8 for i in range(1600)]) > 0.85
+
+
+def test_search_ends_with_expanded_beams(spark):
+    v = np.random.default_rng(4).standard_normal((400, 4))
+    nodes = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").localCheckpoint()
+    graph = ann.build_graph(nodes, degree=6, leaf=20)
+    assert ann.changed(graph, ann.descend(nodes, graph, 6, ann.MEET, 99)) < 3 * ann.DELTA
+    state = ann.search(nodes, graph, nodes.where("id < 3").select(F.col("id").alias("q"), F.col("id").alias("node"), "v"), beam=100, expand=8).collect()
+    assert len(state) == 3 and all(b["x"] for r in state for b in r.beam)
+
+
 def labelled(spark, n=240):
     rows, labels = [], []
     for i in range(n):
