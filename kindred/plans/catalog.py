@@ -12,17 +12,19 @@ from ..operators import audit, decide, model, retrieval, splits
 from ..sources.records import id_lists, record_views
 
 
-def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Records of documents. As in the SQL, lines 1 and 2 cut to 60 characters; or, if whole, line 1 and all that follows it."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     line = lambda k: F.split_part("text", F.lit("\n"), F.lit(k))
-    return d.select((F.col("doc_id") % 3 + 1).cast("int").alias("src"), F.col("doc_id").alias("rec_id"), F.col("lang").alias("country"), line(1).alias("l1"), line(2).alias("l2")).withColumns({"name_raw": F.substring("l1", 1, 60), "addr_raw": F.substring("l2", 1, 60), "entity_id": F.concat(F.lit("S"), F.col("src"), F.lit("-"), F.col("rec_id"))})
+    rest = F.expr("substring(text, length(split_part(text, '\n', 1)) + 2)")
+    return d.select((F.col("doc_id") % 3 + 1).cast("int").alias("src"), F.col("doc_id").alias("rec_id"), F.col("lang").alias("country"), line(1).alias("l1"), (rest if whole else line(2)).alias("l2")).withColumns({"name_raw": F.col("l1") if whole else F.substring("l1", 1, 60), "addr_raw": F.col("l2") if whole else F.substring("l2", 1, 60), "entity_id": F.concat(F.lit("S"), F.col("src"), F.lit("-"), F.col("rec_id"))})
 
 
 class World:
     """Relations of a test folder, each made when asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.raw = raw_records(spark, sf_dir)
+    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
+        self.raw = raw_records(spark, sf_dir, whole)
 
     @property
     def views(self) -> DataFrame:
@@ -165,6 +167,7 @@ O: dict = {}
 def query(name: str, oracle: str | None = None):
     def keep(f):
         Q[name] = lambda spark, sf_dir: f(World(spark, sf_dir))
+        Q[f"whole_{name}"] = lambda spark, sf_dir: f(World(spark, sf_dir, whole=True))
         if oracle:
             O[name] = sql(oracle)
         return f
