@@ -134,6 +134,24 @@ def test_decontamination_equals_brute_force(spark):
         assert got[i].items_sha256 == hashlib.sha256(",".join(who).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("slop", [1, 4])
+def test_proximity_equals_brute_force(spark, slop):
+    r = random.Random(3)
+    items = [(1, "ka lo mi"), (2, "Ru po ru"), (3, "du"), (4, None)]
+    texts = [" ".join(r.choice(["ka", "lo", "mi", "ru", "po", "du", "xx", "yy"]) for _ in range(60)) for _ in range(12)] + [None, "", "mi ka lo", "lo, KA mi!"]
+    d = docs(spark, texts, False)
+    key = {(x.d1, x.d2): x.doc_id for x in d.select("doc_id", *decontam.doc_key()).collect()}
+    found = decontam.proximity_matches(d, spark.createDataFrame(items, "item_id long, text string"), slop).collect()
+    got = {(key[x.d1, x.d2], x.w, x.start) for x in found}
+    words = [(t or "").lower().replace(",", "").replace("!", "").split() for t in texts]
+    df = {t: sum(w.count(t) for w in words) for w in words for t in w}
+    want = set()
+    for w in ("ka lo mi", "ru po ru", "du"):
+        rare = min(w.split(), key=lambda t: (df[t], t))
+        want |= {(i, w, p) for i, ws in enumerate(words) for p, t in enumerate(ws) if t == rare and all(x in ws[max(0, p - slop) : p + slop + 1] for x in w.split())}
+    assert got == want and want
+
+
 def test_shards_are_even_and_gapless(spark):
     texts = [SAY(R.randint(1, 60)) for _ in range(400)] + ["hot text " * 20] * 200 + [None, ""]
     rows = sharding.assign(sharding.keyed(docs(spark, texts)), 4).collect()
