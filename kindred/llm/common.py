@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -12,16 +14,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows in an Arrow batch. Texts may be long, so batches stay small.
-ARROW_ROWS = 1024
+#: Session settings of these operators. Texts may be long, so Arrow batches are bounded by bytes too; shuffle
+#: files go when the statement that made them ends, as what is read later is written by cut().
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    # What cut() writes is compressed: without this, tables many times the broadcast threshold would be broadcast.
+    "spark.sql.sources.fileCompressionFactor": "6.0",
+}
 
 _shipped: set[str] = set()
+_cuts: dict[str, SparkSession] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches and see to it that Python workers can import this package."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) != str(ARROW_ROWS):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Make the settings and see to it that Python workers can import this package."""
+    for k, v in SETTINGS.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
     top = Path(__file__).resolve().parents[2]
     app = spark.sparkContext.applicationId
     if app not in _shipped and str(top) not in os.environ.get("PYTHONPATH", "").split(":"):
@@ -39,20 +50,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share. A local one is made only where the session names none."""
+    """The folder that all machines share. A local one is made only where all of Spark is one process and names none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='kindred-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
+    """Write df to the shared folder and read it back: lineage ends, lost executors cost nothing.
+
+    The files go when the process that made them ends, or at once by drop()."""
+    spark = prepare(df.sparkSession)
     at = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    if not _cuts:
+        atexit.register(_drop_all)
+    _cuts[at] = spark
+    out = spark.read.schema(df.schema).parquet(at)
+    out._kindred_cut = at
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what cut() wrote for these very tables. Nothing that reads them may be run afterwards."""
+    for df in tables:
+        at = getattr(df, "_kindred_cut", None)
+        if _cuts.pop(at, None) is not None:
+            _delete(df.sparkSession, at)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _drop_all() -> None:
+    for at, spark in list(_cuts.items()):
+        with contextlib.suppress(Exception):  # the session may have been stopped
+            _delete(spark, at)
 
 
 def ascii_lower(c: Column | str) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(now)
     while state[0]:
-        now = cut(_small(_large(now).distinct()).distinct())
+        before, now = now, cut(_small(_large(now).distinct()).distinct())
+        drop(before)
         new = _state(now)
         if new == state:
             break

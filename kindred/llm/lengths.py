@@ -10,7 +10,6 @@ empty histogram; columns beside text are ignored.
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,8 +27,8 @@ def encoded_lengths(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            _, off = enc.encode(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(np.diff(off))], ["length"])
+            for _, _, lens in enc.parts(b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(lens)], ["length"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "length long")
 

@@ -1,7 +1,7 @@
 """Best-fit packing by patterns: documents, cut into pieces of at most one sequence, share sequences.
 
 Lengths are at most the sequence length, so their histogram has a fixed size whatever the corpus.
-On it, patterns of two or three pieces that fill a sequence exactly are enumerated, their repeat
+On it, patterns of two to four pieces that fill a sequence exactly are enumerated, their repeat
 counts fitted by non-negative least squares and rounded within supply, and what is left is packed
 best-fit decreasing, whole classes of equal gaps at a time. Every piece then finds its place from its
 rank among pieces of its length: pieces are ranked in salted groups, so no length is hot.
@@ -23,50 +23,54 @@ from .common import cut, prepare, table
 from .wordbpe import default_path, encoder
 
 SEQUENCE = 2048
-SALTS = 64
-#: Frequent lengths of which patterns of three are built.
-TRIPLE_LENGTHS = 64
+#: Groups in which the pieces of one length are ranked: so many, and more where a group would hold over GROUP pieces.
+SALTS, GROUP, LOTS = 64, 50_000, 1024
+#: The most frequent lengths, of which patterns of three and of four are built.
+TRIPLE_LENGTHS, FOUR_LENGTHS = 64, 16
 
 
 def tokenise(docs: DataFrame, path: str, limit: int = SEQUENCE, closing: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every piece of every row."""
+    """(doc_id, piece, start, length, ids_crc32, lot) of every piece of every row; lots differ among equal rows of a task."""
     prepare(docs.sparkSession)
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches):
-        enc = encoder(path)
-        for b in batches:
-            ids, off = enc.encode(b.column(1))
-            lens = np.diff(off) + 1
+        enc, lot = encoder(path), 0
+        for first, ids, lens, b in ((*part, b) for b in batches for part in enc.parts(b.column(1))):
+            lens = lens + 1
             count = -(-lens // limit)
             row = np.repeat(np.arange(len(lens)), count)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             start = piece * limit
             length = np.minimum(limit, lens[row] - start)
             closed = np.empty(len(ids) + len(lens), "<u4")
-            ends = off[1:] + np.arange(1, len(lens) + 1)
+            ends = np.cumsum(lens)
             body = np.ones(len(closed), bool)
             body[ends - 1] = False
             closed[body], closed[ends - 1] = ids, closing
             at = (ends - lens)[row] + start
             crc = [zlib.crc32(closed[a : a + n]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            lots = pa.array((lot + np.arange(len(row))) % LOTS, pa.int32())
+            lot += len(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first + row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), lots], ["doc_id", "piece", "start", "length", "ids_crc32", "lot"])
 
-    return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
+    return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, lot int")
 
 
 def exact_patterns(hist: np.ndarray) -> np.ndarray:
-    """Rows (a, b, c), a >= b >= c, c may be 0, of lengths in the histogram that fill a sequence."""
+    """Rows (a, b, c, d), falling, the last may be 0, of lengths in the histogram that fill a sequence."""
     limit = len(hist) - 1
     a = np.arange(1, limit // 2 + 1)
-    pairs = np.stack([limit - a, a, np.zeros_like(a)], 1)
-    top = np.argsort(-hist[:limit], kind="stable")[:TRIPLE_LENGTHS]
-    top = top[(top > 0) & (hist[top] > 0)]
-    x, y = (z.ravel() for z in np.meshgrid(top, top))
-    z = limit - x - y
-    some = z > 0
-    triples = -np.sort(-np.stack([x[some], y[some], z[some]], 1), axis=1)
-    found = np.unique(np.concatenate([pairs, triples]), axis=0)
+    found = [np.stack([limit - a, a, 0 * a, 0 * a], 1)]
+    for size, most in ((3, TRIPLE_LENGTHS), (4, FOUR_LENGTHS)):
+        top = np.argsort(-hist[:limit], kind="stable")[:most]
+        top = top[(top > 0) & (hist[top] > 0)]
+        each = np.stack([x.ravel() for x in np.meshgrid(*[top] * (size - 1))], 1)
+        last = limit - each.sum(1)
+        whole = np.zeros((int((last > 0).sum()), 4), np.int64)
+        whole[:, : size - 1], whole[:, size - 1] = each[last > 0], last[last > 0]
+        found.append(-np.sort(-whole, axis=1))
+    found = np.unique(np.concatenate(found), axis=0)
     need = np.where(found > 0, hist[found] > 0, True)
     return found[need.all(1)]
 
@@ -78,7 +82,7 @@ def fit_counts(patterns: np.ndarray, hist: np.ndarray, rounds: int = 400) -> np.
     used = patterns > 0
 
     def apply(x):
-        return np.bincount(patterns[used], np.repeat(x[:, None], 3, 1)[used], len(hist))
+        return np.bincount(patterns[used], np.repeat(x[:, None], patterns.shape[1], 1)[used], len(hist))
 
     ones = np.ones(len(patterns))
     norm = max(float((apply(ones)[patterns] * used).sum(1).max()), 1.0)  # bounds the largest eigenvalue
@@ -156,18 +160,19 @@ def places(plans: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 
 def pack(pieces: DataFrame, limit: int = SEQUENCE, salts: int = SALTS) -> DataFrame:
-    """Adds sequence_id and offset to rows (doc_id, piece, .., length). Reads `pieces` three times."""
+    """Adds sequence_id and offset to rows (doc_id, piece, .., length, lot) instead of lot. Reads `pieces`, a written table, three times."""
     spark = prepare(pieces.sparkSession)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n"))
     hist = np.zeros(limit + 1, np.int64)
     for n, c in pieces.groupBy("length").count().collect():  # at most `limit` rows
         hist[n] = c
+    salts = max(salts, -(-int(hist.max()) // GROUP))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "lot"), F.lit(salts)))
+    counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n"))
     shared = spark.sparkContext.broadcast(places(plan(hist)))
-    near = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    near = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "lot")
     ranked = salted.withColumn("k", F.row_number().over(near)).join(counts.select("length", "salt", "before"), ["length", "salt"])
-    ranked = ranked.select(*pieces.columns, (F.col("before") + F.col("k") - 1).alias("rank"))
+    ranked = ranked.select(*[c for c in pieces.columns if c != "lot"], (F.col("before") + F.col("k") - 1).alias("rank"))
 
     def run(batches):
         where = shared.value
@@ -178,7 +183,7 @@ def pack(pieces: DataFrame, limit: int = SEQUENCE, salts: int = SALTS) -> DataFr
             cols = [*b.columns[:-1], pa.array(where[i, 2] + r - where[i, 1]), pa.array(where[i, 3])]
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], "sequence_id", "offset"])
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in ranked.dtypes[:-1])
     return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 

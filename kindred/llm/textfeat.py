@@ -2,7 +2,7 @@
 
 Texts are never copied into Python strings: classes, boundaries and hashes of all words of a
 batch come from array operations on its bytes. Memory is bounded by pieces of ``PIECE`` bytes;
-longer texts are cut at white space.
+longer texts are cut at white space. Words of over 16 bytes are known by their ends and length.
 """
 
 from __future__ import annotations
@@ -23,19 +23,8 @@ IS_WORD = IS_UPPER | IS_DIGIT | ((_bytes >= 97) & (_bytes <= 122)) | (_bytes >=
 CLASS = np.where(IS_SPACE, SPACE, np.where(IS_WORD, WORD, PUNCT)).astype(np.uint8)
 LOWERED = np.where(IS_UPPER, _bytes + 32, _bytes).astype(np.uint8)
 
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**k and base**-k modulo 2**64 for k < n."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        n = max(n, PIECE + 2)
-        up = np.full(n, base, np.uint64)
-        down = np.full(n, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers[base] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _powers[base]
+#: 8 low bytes by how many of them count.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,12 +34,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:
-    """A 64-bit hash of each buf[start:end]."""
-    up, down = powers(_BASES[base], len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def word_ends(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first 8 bytes, last 8 bytes, length) of each buf[start:end]; the last are 0 for up to 8 bytes.
+
+    They tell words of up to 16 bytes apart exactly, zero bytes aside.
+    """
+    pad = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, "<u8", pad, 0, (1,))  # the 8 bytes from each place on
+    n = ends - starts
+    head = eight[starts] & _MASKS[np.minimum(n, 8)]
+    tail = np.where(n > 8, eight[np.maximum(ends - 8, 0)], np.uint64(0))
+    return head, tail, n
+
+
+def ends_hash(head: np.ndarray, tail: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return mix(head + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ mix(tail * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,9 +102,9 @@ def ngram_keys(col: pa.Array, bits: int, bigrams: bool = True, shapes: bool = Tr
     with `shapes` neighbouring pairs of word shapes (case, digits, length).
     """
     off, data = buffers(col)
-    mask, out, last, again = np.uint64((1 << bits) - 1), [], -1, False
+    mask, out, last = np.uint64((1 << bits) - 1), [], -1
     for rows, begins, buf in pieces(off, data):
-        again |= rows[0] == last
+        again = rows[0] == last  # the rest of a long text
         last = rows[-1]
         cls = CLASS[buf]
         s, e = runs(cls, begins)
@@ -115,7 +113,7 @@ def ngram_keys(col: pa.Array, bits: int, bigrams: bool = True, shapes: bool = Tr
         if not len(s):
             continue
         row = rows[np.searchsorted(begins, s, "right") - 1]
-        h = span_hash(LOWERED[buf], s, e)
+        h = ends_hash(*word_ends(LOWERED[buf], s, e))
         found = [(row, h)]
         near = row[1:] == row[:-1]
         if bigrams:
@@ -127,8 +125,9 @@ def ngram_keys(col: pa.Array, bits: int, bigrams: bool = True, shapes: bool = Tr
             shape = np.where(cls[s] == PUNCT, h, (1 + IS_DIGIT[buf[s]] + 2 * IS_UPPER[buf[s]] + 4 * ((k == n) & (n > 1)) + 8 * np.minimum(n // 4, 6)).astype(np.uint64))
             found.append((row[1:][near], mix(shape[:-1] * np.uint64(5) + shape[1:] + np.uint64(77))[near]))
         keys = np.concatenate([(r.astype(np.uint64) << np.uint64(bits)) | (x & mask) for r, x in found])
-        out.append(np.unique(keys))
+        if again and out:
+            out[-1] = np.union1d(out[-1], keys)
+        else:
+            out.append(np.unique(keys))
     keys = np.concatenate(out) if out else np.zeros(0, np.uint64)
-    if again:
-        keys = np.unique(keys)
     return (keys >> np.uint64(bits)).astype(np.int64), (keys & mask).astype(np.int32)
