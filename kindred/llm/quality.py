@@ -25,14 +25,14 @@ BITS = 20
 TRAIN_ROWS = 16_000
 
 
-def dual_descent(y: np.ndarray, ptr: np.ndarray, idx: np.ndarray, val: np.ndarray, dim: int, c: float = 1.0, rounds: int = 8, seed: int = 7) -> np.ndarray:
-    """Weights (the last one for a constant feature) of min |w|^2/2 + c sum hinge, y in {-1, 1}."""
+def dual_descent(y: np.ndarray, ptr: np.ndarray, idx: np.ndarray, val: np.ndarray, dim: int, rows: np.ndarray, c: float = 1.0, rounds: int = 8, seed: int = 7) -> np.ndarray:
+    """Weights (the last one for a constant feature) of min |w|^2/2 + c sum hinge over `rows`, y in {-1, 1}."""
     n, w = len(y), np.zeros(dim + 1)
     alpha, order = np.zeros(n), np.random.default_rng(seed)
-    norm = np.array([val[a:b] @ val[a:b] for a, b in zip(ptr[:-1], ptr[1:], strict=True)]) + 1.0
+    norm = np.array([val[a:b] @ val[a:b] for a, b in zip(ptr[:-1], ptr[1:], strict=True)], float) + 1.0
     for _ in range(rounds):
         most = 0.0
-        for i in order.permutation(n):
+        for i in order.permutation(rows):
             a, b = ptr[i], ptr[i + 1]
             j, v = idx[a:b], val[a:b]
             g = y[i] * (w[j] @ v + w[dim]) - 1.0
@@ -68,30 +68,28 @@ def fit_model(labels: np.ndarray, ptr: np.ndarray, idx: np.ndarray) -> bytes:
     dim, t = 1 << BITS, (labels == 1).astype(np.int64)
     if t.min() == t.max():
         return np.array([0.0, 30.0 if t[0] else -30.0, 0.0]).tobytes() + np.zeros(2 * dim, np.float32).tobytes()
-    row = np.repeat(np.arange(len(t)), np.diff(ptr))
-    df = np.bincount(idx, minlength=dim)
-    pos = np.bincount(idx, t[row], dim)
+    df, pos = np.zeros(dim, np.int64), np.zeros(dim, np.int64)
+    each = list(zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True))
+    for (a, b), yes in zip(each, t, strict=True):  # a row's features differ
+        df[idx[a:b]] += 1
+        if yes:
+            pos[idx[a:b]] += 1
     p, q = pos + 1.0, df - pos + 1.0
-    ratio = np.where(df >= 2, np.log(p / t.sum()) - np.log(q / (1 - t).sum()), 0.0)
+    ratio = np.where(df >= 2, np.log(p / t.sum()) - np.log(q / (1 - t).sum()), 0.0).astype(np.float32)
     val = ratio[idx]
-    length = np.sqrt(np.bincount(row, val * val, len(t)))
-    val = val / np.maximum(length, 1e-9)[row]
+    for a, b in each:
+        val[a:b] /= max(np.sqrt(val[a:b] @ val[a:b]), 1e-9)
     y = np.where(t == 1, 1.0, -1.0)
-
-    test = np.arange(len(t)) % 5 == 4
-
-    def part(rows: np.ndarray):
-        keep = rows[row]
-        return y[rows], np.concatenate([[0], np.cumsum(np.diff(ptr)[rows])]), idx[keep], val[keep]
-
+    rows = np.arange(len(t))
+    test = rows % 5 == 4
     if test.any() and 0 < t[test].sum() < test.sum() and 0 < t[~test].sum() < (~test).sum():
-        w = dual_descent(*part(~test), dim)
-        m = np.bincount(row, w[idx] * val, len(t)) + w[dim]
+        w = dual_descent(y, ptr, idx, val, dim, rows[~test])
+        m = np.array([w[idx[a:b]] @ val[a:b] for a, b in each]) + w[dim]
         a, b = logistic_fit(m[test], t[test])
     else:
         a, b = 2.0, 0.0
-    w = dual_descent(y, ptr, idx, val, dim)
-    return np.array([a, b, w[dim]]).tobytes() + ratio.astype(np.float32).tobytes() + w[:-1].astype(np.float32).tobytes()
+    w = dual_descent(y, ptr, idx, val, dim, rows)
+    return np.array([a, b, w[dim]]).tobytes() + ratio.tobytes() + w[:-1].astype(np.float32).tobytes()
 
 
 class QualityClassifier:

@@ -5,9 +5,11 @@ vectors never exceeds the Hamming distance of the fingerprints. Vectors within d
 most two coordinates, so they agree in a cell of at least one of 15 grids, each of which leaves out
 two of six blocks of coordinates. Candidates from a cell pass the Manhattan bound, then the exact test.
 
-Cells of over CELL different fingerprints aren't paired: two fingerprints differ in at most two bits
-exactly if the one or a flip of one of its bits equals the other or a flip of one of its bits, so their
-members meet under such keys, at most 65 to a key. Nothing is dropped and no cell is quadratic.
+Cells of over CELL different fingerprints aren't paired but divided along all coordinates: vectors within
+distance 2 have a vector within distance 1 of both between them, so members meet under the at most 65 vectors
+within distance 1 of theirs. Should such a finer cell be over CELL too, its members are linked by bits: two
+fingerprints differ in at most two bits exactly if the one or a flip of one of its bits equals the other or a
+flip of one of its bits. Nothing is dropped and no cell is quadratic.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; equal
 fingerprints are one node; a component whose ids are all null has a null id; repeated rows share
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, prepare, table
@@ -79,7 +81,29 @@ def grids() -> list[int]:
     ends = np.cumsum(_BLOCKS)
     block = [sum(3 << (2 * k) for k in range(e - n, e)) for n, e in zip(_BLOCKS, ends, strict=True)]
     masks = [sum(block) - block[i] - block[j] for i in range(6) for j in range(i)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return [_signed(m) for m in masks]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def paired(cells: DataFrame) -> DataFrame:
+    """Edges (a, b) of the members of small cells (l: fingerprints) that are near: first the Manhattan bound, then the bits."""
+    pairs = cells.select(F.explode("l").alias("a"), "l").select("a", F.explode("l").alias("b")).where("a > b")
+    bound = F.bit_count(embedding(F.col("a")).bitwiseXOR(embedding(F.col("b")))) <= BITS
+    return pairs.where(bound).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)
+
+
+def beside(e: Column) -> Column:
+    """The vectors within Manhattan distance 1 of a vector in unary: each segment is 0, 1 or 3."""
+    out = [e]
+    for k in range(32):
+        low, high = (_signed(1 << (2 * k + i)) for i in (0, 1))
+        none, full = e.bitwiseAND(F.lit(low)) == 0, e.bitwiseAND(F.lit(high)) != 0
+        out += [F.when(none, e.bitwiseOR(F.lit(low))).otherwise(F.when(full, e.bitwiseXOR(F.lit(high))).otherwise(e.bitwiseXOR(F.lit(low))))]
+        out += [F.when(none | full, F.lit(None).cast("long")).otherwise(e.bitwiseOR(F.lit(high)))]
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
 def links(fps: DataFrame, cell: int = CELL) -> DataFrame:
@@ -89,14 +113,17 @@ def links(fps: DataFrame, cell: int = CELL) -> DataFrame:
     keys = emb.select("fp", F.posexplode(F.array(*[F.col("e").bitwiseAND(F.lit(m)) for m in grids()])).alias("grid", "cell"))
     counts = keys.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = keys.join(counts, ["grid", "cell"])
-    lists = shared.where(F.col("n") <= cell).groupBy("grid", "cell").agg(F.collect_list("fp").alias("l"))
-    pairs = lists.select(F.explode("l").alias("a"), "l").select("a", F.explode("l").alias("b")).where("a > b")
-    near = pairs.where(F.bit_count(embedding(F.col("a")).bitwiseXOR(embedding(F.col("b")))) <= BITS).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)
-    flips = [0, *[(1 << k) - ((1 << 64) if k == 63 else 0) for k in range(64)]]
-    hot = shared.where(F.col("n") > cell).select("fp").distinct()
-    met = hot.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(f)) for f in flips])).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("l")).where(F.size("l") > 1)
-    stars = met.select(F.explode("l").alias("a"), F.array_min("l").alias("b")).where("a <> b")
-    return near.union(stars)
+    near = paired(shared.where(F.col("n") <= cell).groupBy("grid", "cell").agg(F.collect_list("fp").alias("l")))
+    full = cut(shared.where(F.col("n") > cell).select("fp").distinct())
+    if full.isEmpty():
+        return near
+    finer = full.select("fp", F.explode(beside(embedding(F.col("fp")))).alias("key"))
+    met = finer.join(finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    near = near.union(paired(met.where(F.col("n") <= cell).groupBy("key").agg(F.collect_list("fp").alias("l"))))
+    flips = [0, *[_signed(1 << k) for k in range(64)]]
+    hot = met.where(F.col("n") > cell).select("fp").distinct()
+    same = hot.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(f)) for f in flips])).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("l")).where(F.size("l") > 1)  # 65 at most
+    return near.union(same.select(F.explode("l").alias("a"), F.array_min("l").alias("b")).where("a <> b"))
 
 
 def roots(fps: DataFrame, cell: int = CELL) -> DataFrame:
@@ -119,7 +146,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: the smallest id's; of several texts under it, that of the smallest hash."""
     sets = cut(run_sets(docs))
-    rooted = cut(sets.select("doc_id", "th", "node").join(components(sets), "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root")))
+    rooted = cut(sets.select("doc_id", "th", "node").join(components(docs, sets), "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     at = rooted.join(least, "root").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = cut(at.groupBy("root").agg(F.min("doc_id").alias("k_id"), F.min("th").alias("k_th"), F.count(F.lit(1)).alias("k_n")))

@@ -30,8 +30,8 @@ GRADES = 3
 
 
 def severity_grades(toxic: np.ndarray, ptr: np.ndarray, idx: np.ndarray, dim: int) -> np.ndarray:
-    row = np.repeat(np.arange(len(toxic)), np.diff(ptr))
-    df, pos = np.bincount(idx, minlength=dim), np.bincount(idx, toxic[row], dim)
+    row = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(ptr))
+    df, pos = np.bincount(idx, minlength=dim), np.bincount(idx[toxic[row] == 1], minlength=dim)
     odds = np.log((pos + 0.5) / (toxic.sum() + 1)) - np.log((df - pos + 0.5) / ((1 - toxic).sum() + 1))
     n = np.bincount(row, ((odds >= 3) & (df >= 5))[idx], len(toxic))
     middle = np.median(n[toxic == 1]) if toxic.any() else 0
@@ -41,8 +41,8 @@ def severity_grades(toxic: np.ndarray, ptr: np.ndarray, idx: np.ndarray, dim: in
 def feature_scales(toxic: np.ndarray, ptr: np.ndarray, idx: np.ndarray, dim: int) -> np.ndarray:
     """0 for rare features and for those whose smoothed log odds are within two standard errors of 0;
     else in proportion to these odds and the logarithm of the feature's frequency, 1 at most."""
-    row = np.repeat(np.arange(len(toxic)), np.diff(ptr))
-    df, pos = np.bincount(idx, minlength=dim), np.bincount(idx, toxic[row], dim)
+    row = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(ptr))
+    df, pos = np.bincount(idx, minlength=dim), np.bincount(idx[toxic[row] == 1], minlength=dim)
     odds = np.log((pos + 0.5) / (toxic.sum() + 1)) - np.log((df - pos + 0.5) / ((1 - toxic).sum() + 1))
     error = np.sqrt(1 / (pos + 0.5) + 1 / (df - pos + 0.5))
     scale = np.where((df >= 5) & (np.abs(odds) >= 2 * error), np.abs(odds) * np.log1p(df), 0)
@@ -88,9 +88,9 @@ def fit_model(labels: np.ndarray, ptr: np.ndarray, idx: np.ndarray) -> bytes:
         return np.full(GRADES - 1, 40.0 if not toxic.any() else -40.0).tobytes() + np.zeros(dim, np.float32).tobytes()
     y = severity_grades(toxic, ptr, idx, dim)
     scale = feature_scales(toxic, ptr, idx, dim)
-    keep = scale[idx] > 0
+    keep = scale[idx] > 0  # the others have weight 0; few are left
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(ptr))[keep]
     used, idx = np.unique(idx[keep], return_inverse=True)
-    row = np.repeat(np.arange(len(y)), np.diff(ptr))[keep]
     ptr = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(y)))])
     found, theta = fit_ordinal(y, ptr, idx, scale[used][idx], len(used), GRADES)
     w = np.zeros(dim)

@@ -11,6 +11,7 @@ pytest.importorskip("kindred.llm.entry")
 from pyspark.sql import functions as F
 
 from kindred.llm import ann, components, decontam, lengths, nearcopies, packing, quality, sharding, simhash, toxicity, urltree, warc
+from kindred.llm.common import cut
 from kindred.llm.wordbpe import default_path, encoder
 
 DOC = "doc_id long, text string, lang string, source string, score double, length long"
@@ -88,7 +89,7 @@ def test_fingerprints_and_components(spark):
 def test_links_equal_brute_force(spark, cell):
     r = np.random.default_rng(3)
     base = r.integers(0, 2**63, 6, dtype=np.int64)
-    fps = {int(b) for b in base}
+    fps = {int(b) for b in base} | {0, -1, *range(12)}
     for b in base[:3]:
         for _ in range(40):
             x = int(b)
@@ -112,9 +113,11 @@ def test_links_equal_brute_force(spark, cell):
     assert all(got.get(x, x) == root(x) for x in fps)
 
 
-def test_decontamination_equals_brute_force(spark):
+@pytest.mark.parametrize("small", [0, decontam.SMALL])
+def test_decontamination_equals_brute_force(spark, monkeypatch, small):
     import re
 
+    monkeypatch.setattr(decontam, "SMALL", small)
     items = [(1, SAY(30)), (2, "ru po"), (None, SAY(12)), (4, None), (5, ""), (11, SAY(12))]
     texts = [*TEXTS, "x. " + items[0][1].upper() + " y", items[0][1][:60], "Ru, po! ru po", "... " + items[0][1] + "!", "?!", ". one", items[-1][1] + " " + items[-1][1]]
     got = {r.doc_id: r for r in decontam.judge(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).where("doc_id is not null").collect()}
@@ -206,8 +209,8 @@ def near_copies():
     return out + ["", "  ", "one two", "One two", "one two three"]
 
 
-@pytest.mark.parametrize("cell", [1, 3, 32])
-def test_near_copies_equal_brute_force(spark, cell):
+@pytest.mark.parametrize(("cell", "many"), [(1, 3), (3, 3), (3, 2048), (32, 2048)])
+def test_near_copies_equal_brute_force(spark, cell, many):
     texts = near_copies()
     sets = [five_word_runs(t) for t in texts]
     parent = list(range(len(texts)))
@@ -221,8 +224,8 @@ def test_near_copies_equal_brute_force(spark, cell):
         for b in range(a):
             if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 parent[max(root(a), root(b))] = min(root(a), root(b))
-    rows = nearcopies.run_sets(docs(spark, texts, False)).localCheckpoint()
-    roots = {x.node: x.root for x in nearcopies.components(rows, cell).collect()}
+    rows = cut(nearcopies.run_sets(docs(spark, texts, False)))
+    roots = {x.node: x.root for x in nearcopies.components(docs(spark, texts, False), rows, cell, many).collect()}
     got = {r.doc_id: roots.get(r.node, r.node) for r in rows.collect()}
     assert all((got[a] == got[b]) == (root(a) == root(b)) for a in got for b in got)
     assert len({root(a) for a in got}) < len({frozenset(x) for x in sets}) - 12
@@ -256,7 +259,7 @@ def test_neighbours_against_brute_force(spark):
 def test_large_leaves_keep_neighbours_together(spark, monkeypatch):
     monkeypatch.setattr(ann, "SAMPLE", 64)  # four leaves at most
     v = np.random.default_rng(2).standard_normal((1600, 2))
-    nodes = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").localCheckpoint()
+    nodes = cut(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>"))
     got = {r.id: {e["n"] for e in r.nb} for r in ann.nearest(ann.start_lists(nodes, 1600, 8, 40), 8).collect()}
     d = ((v[:, None] - v[None]) ** 2).sum(-1) + np.diag([np.inf] * 1600)
     assert np.mean([len(got[i] & set(np.argsort(d[i])[:8].tolist())) / 8 for i in range(1600)]) > 0.85
@@ -264,7 +267,7 @@ def test_large_leaves_keep_neighbours_together(spark, monkeypatch):
 
 def test_search_ends_with_expanded_beams(spark):
     v = np.random.default_rng(4).standard_normal((400, 4))
-    nodes = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").localCheckpoint()
+    nodes = cut(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>"))
     graph = ann.build_graph(nodes, degree=6, leaf=20)
     assert ann.changed(graph, ann.descend(nodes, graph, 6, ann.MEET, 99)) < 3 * ann.DELTA
     state = ann.search(nodes, graph, nodes.where("id < 3").select(F.col("id").alias("q"), F.col("id").alias("node"), "v"), beam=100, expand=8).collect()
