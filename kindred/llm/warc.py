@@ -8,7 +8,7 @@ verifies each stored payload against its digest and length, parses the header by
 Of records with equal payloads of at least `least` bytes the one with the largest page_id is the
 response, the others are revisits of it. Defined cases: a null payload is empty; a null url is an empty
 header value, line breaks in it are percent-encoded; a null page_id is smaller than any other; rows of
-equal page_id and payload are each a record, one of them the response; an empty table makes an empty
+equal page_id and payload are each a record, of which one with the smallest url is the response; an empty table makes an empty
 archive; columns beside page_id, url and html are ignored.
 """
 
@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import prepare, shared_dir, table
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
@@ -58,9 +58,10 @@ def header(kind: Column, refers: Column) -> Column:
 def write(pages: DataFrame, to: str, least: int = 0) -> None:
     """Make the archive of pages (page_id, url, html) in the folder `to`, which every machine can reach."""
     rows = digested(pages)
-    thin = rows.drop("payload")
-    # One response for each content; payloads themselves are not shuffled but for those that are stored.
-    first = thin.groupBy("sha256", "bytes").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n"))
+    thin = rows.drop("payload").groupBy("page_id", "url", "sha256", "sha1", "bytes").agg(F.count(F.lit(1)).alias("copies"))
+    # One response for each content: the largest page_id, of its records that with the smallest url.
+    first = thin.groupBy("sha256", "bytes", "page_id").agg(F.min("url").alias("url"), F.sum("copies").alias("n"))
+    first = first.groupBy("sha256", "bytes").agg(F.max(F.struct("page_id", "url")).alias("top"), F.sum("n").alias("n"))
     spread = F.explode(F.sequence(F.lit(0), F.when(F.col("n") > SALTS, SALTS - 1).otherwise(0))).alias("salt")
     first = first.select("sha256", "bytes", "top", "n", spread)
     salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
@@ -68,27 +69,32 @@ def write(pages: DataFrame, to: str, least: int = 0) -> None:
     often = thin.withColumn("salt", salt).join(first.where(F.col("n") > SALTS), ["sha256", "bytes", "salt"])
     seldom = thin.join(first.where(F.col("n") <= SALTS).drop("salt"), ["sha256", "bytes"]).withColumn("salt", F.lit(0).cast("long"))
     both = seldom.unionByName(often.withColumn("salt", F.col("salt").cast("long")))
-    same = F.col("page_id").eqNullSafe(F.col("top"))
-    nth = F.row_number().over(Window.partitionBy("sha256", "bytes", "page_id").orderBy("url"))
-    ties = both.where(same).withColumn("lead", nth == 1)
-    marked = ties.unionByName(both.where(~same).withColumn("lead", F.lit(False)))
-    kind = F.when((F.col("bytes") < least) | F.col("lead"), "response").otherwise("revisit")
-    marked.select("page_id", "sha256", header(kind, F.col("top")).cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{to}/headers")
-    once = rows.groupBy("sha256").agg(F.first("payload").alias("payload"))
-    once.write.option("compression", "zstd").parquet(f"{to}/payloads")
+    each = both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    lead = F.col("page_id").eqNullSafe(F.col("top.page_id")) & (F.col("url") == F.col("top.url")) & (F.col("copy") == 1)
+    kind = F.when((F.col("bytes") < least) | lead, "response").otherwise("revisit")
+    each.select("page_id", "sha256", header(kind, F.col("top.page_id")).cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{to}/headers")
+    # Payloads move once, copies of one content combined before.
+    rows.groupBy("sha256").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{to}/payloads")
 
 
-def field(name: str) -> Column:
-    """A field's value from the exact header text."""
-    return F.regexp_extract(F.col("header").cast("string"), rf"(?m)^{name}: ([^\r\n]*)$", 1)
+def field(head: str, name: str) -> Column:
+    """A field's value from the exact header text, whose lines end at line feeds alone: urls may hold any other sign."""
+    return F.regexp_extract(head, rf"(?md)^{name}: ([^\r\n]*)", 1)
+
+
+def parsed(heads: DataFrame, kind: str, head: str = "head") -> DataFrame:
+    """Adds page_id (of the type `kind`), record_type, payload_digest, refers_to and said_bytes from the header text."""
+    number = lambda c: F.nullif(F.regexp_extract(c, "(?s)<urn:page:(.*)>", 1), F.lit("")).cast(kind)
+    return heads.select(
+        "*", number(field(head, "WARC-Record-ID")).alias("page_id"), field(head, "WARC-Type").alias("record_type"), F.regexp_extract(field(head, "WARC-Payload-Digest"), "^sha1:(.*)$", 1).alias("payload_digest"),
+        number(field(head, "WARC-Refers-To")).alias("refers_to"), F.coalesce(F.nullif(field(head, "X-Payload-Length"), F.lit("")), field(head, "Content-Length")).cast("long").alias("said_bytes"),
+    )
 
 
 def read_headers(spark: SparkSession, at: str) -> DataFrame:
-    """(page_id, record_type, payload_digest, refers_to, sha256, header), all but sha256 out of the header bytes."""
+    """(sha256, header, page_id, record_type, payload_digest, refers_to, said_bytes), all but sha256 out of the header bytes."""
     h = spark.read.parquet(f"{at}/headers")
-    kind = dict(h.dtypes)["page_id"]
-    number = lambda c: F.nullif(F.regexp_extract(c, "<urn:page:(.*)>", 1), F.lit("")).cast(kind)
-    return h.select(number(field("WARC-Record-ID")).alias("page_id"), field("WARC-Type").alias("record_type"), F.regexp_extract(field("WARC-Payload-Digest"), "^sha1:(.*)$", 1).alias("payload_digest"), number(field("WARC-Refers-To")).alias("refers_to"), F.coalesce(F.nullif(field("X-Payload-Length"), F.lit("")), field("Content-Length")).cast("long").alias("said_bytes"), "sha256", "header")
+    return parsed(h.select("sha256", "header", F.col("header").cast("string").alias("head")), dict(h.dtypes)["page_id"]).drop("head")
 
 
 def verified(spark: SparkSession, at: str) -> DataFrame:
@@ -111,15 +117,34 @@ def export(spark: SparkSession, at: str, to: str) -> None:
     r.write.option("lineSep", END + END).text(to)
 
 
+def read_back(spark: SparkSession, at: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record, rebuilt whole and parsed again:
+    a response is measured by its own block, a revisit by the stored payload that it is about."""
+    kept = verified(spark, at).select("sha256", "payload", F.octet_length("payload").cast("long").alias("bytes"), base32(F.sha1("payload")).alias("digest"))
+    h = spark.read.parquet(f"{at}/headers")
+    kind = dict(h.dtypes)["page_id"]
+    is_response = F.col("record_type") == "response"
+    heads = read_headers(spark, at).select("sha256", "header", "record_type")
+    # Responses are as many as contents, or short; payloads go to them alone.
+    record = F.concat("header", "payload", F.lit(END + END).cast("binary"))
+    whole = heads.where(is_response).join(kept.select("sha256", "payload"), "sha256").select(record.alias("record"))
+    head = F.concat(F.substring_index(F.col("record").cast("string"), END + END, 1), F.lit(END))
+    cut_ = whole.select(head.alias("head"), "record")
+    block = F.expr("substring(record, octet_length(head) + 3, octet_length(record) - octet_length(head) - 6)")
+    responses = parsed(cut_.select("head", block.alias("block")), kind).select("page_id", F.octet_length("block").cast("long").alias("bytes"), base32(F.sha1("block")).alias("digest"), "payload_digest", "said_bytes", "record_type", "refers_to")
+    text = F.substring_index(F.concat("header", F.lit(END + END).cast("binary")).cast("string"), END + END, 1)
+    about = heads.where(~is_response).join(kept.drop("payload"), "sha256").select(F.concat(text, F.lit(END)).alias("head"), "bytes", "digest")
+    revisits = parsed(about, kind).select(*responses.columns)
+    right = (F.col("digest") == F.col("payload_digest")) & (F.col("bytes") == F.col("said_bytes"))
+    checked = F.when(right, F.col("digest")).otherwise(F.raise_error(F.lit("a header contradicts its payload")))
+    return responses.union(revisits).select("page_id", F.col("bytes").alias("payload_bytes"), checked.alias("payload_digest"), "record_type", "refers_to")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     at = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "pages"), at)
-    stored = verified(spark, at).select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("digest"))
-    # Measures of stored payloads are small; those of each are dealt to the records by salts.
-    heads = read_headers(spark, at).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
-    spread = stored.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    checked = F.when((F.col("digest") == F.col("payload_digest")) & (F.col("payload_bytes") == F.col("said_bytes")), F.col("digest")).otherwise(F.raise_error(F.lit("a header contradicts its payload")))
-    return heads.join(spread, ["sha256", "salt"]).select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
+    return read_back(spark, at)
 
 
 ORACLE = f"""
