@@ -1,7 +1,6 @@
-"""The 50 features of a candidate pair, in their fixed order, as one wide projection.
+"""The 50 features of a candidate pair, in their fixed order, as one wide projection over two records' views.
 
-Input columns: ref_ and tgt_ views (name_norm, addr_norm, name_fold, addr_fold, name_indic, addr_indic),
-the edge's retrieval columns, `source` and `name_weight` (see shared_term_weight).
+What depends on one record alone (words, numbers, skeletons) is made once a record by with_sets(), not once a pair.
 """
 
 from __future__ import annotations
@@ -9,58 +8,112 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .similarity import contained, different, jaccard, jaro_winkler, length_ratio, levenshtein_ratio
+from .similarity import contained, different, jaccard, jaro_winklers, length_ratio, levenshtein_ratio
 from .text import GENERIC_WORDS, core_tokens, numbers, numeric_tokens, skeleton_token, skeletons, token_set
 
+#: What enrich() carries of either record.
+VIEWS = ("name_norm", "addr_norm", "name_fold", "addr_fold", "name_indic", "addr_indic", "name_set", "addr_set", "name_core", "addr_num_set", "addr_nums", "name_skel", "addr_skel", "name_skel_core")
+
+
+def with_sets(views: DataFrame) -> DataFrame:
+    """Adds the sets and lists of a record's views that pair features compare."""
+    dull = F.array(*[skeleton_token(F.lit(w)) for w in GENERIC_WORDS])
+    skeleton = lambda f: F.array_sort(F.array_distinct(skeletons(F.col(f"{f}_latin"))))
+    out = views.withColumns({"name_set": F.array_sort(token_set(F.col("name_norm"))), "addr_set": F.array_sort(token_set(F.col("addr_norm"))), "name_core": core_tokens(F.col("name_norm")), "addr_num_set": numeric_tokens(F.col("addr_norm")), "addr_nums": numbers(F.col("addr_norm")), "name_skel": skeleton("name"), "addr_skel": skeleton("addr")})
+    return out.withColumn("name_skel_core", F.array_except("name_skel", dull))
+
 
 def shared_term_weight(edges: DataFrame, dfs: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """(keys, name_weight): mean over shared name tokens of ln((N + 1)/(df + 1)) + 1; 0 without any."""
+    """(keys, name_weight): mean over shared name tokens of ln((N + 1)/(df + 1)) + 1; pairs without any are left out.
+
+    edges come with name_set of both sides; dfs (country, field, term, df); n_docs (country, n_docs)."""
     keys = ["src", "tgt_id", "ref_id"]
-    shared = edges.select(*keys, "country", F.explode(F.array_intersect(token_set(F.col("ref_name_norm")), token_set(F.col("tgt_name_norm")))).alias("term"))
-    known = shared.join(dfs.where("field = 'name'").select("country", "term", "df"), ["country", "term"], "left").join(F.broadcast(n_docs), "country", "left")
+    shared = edges.select(*keys, "country", F.explode(F.array_intersect("ref_name_set", "tgt_name_set")).alias("term"))
+    known = shared.join(dfs.where("field = 'name'").select("country", "term", "df"), ["country", "term"], "left").join(F.broadcast(n_docs), "country", "left")  # n_docs: a row for each country
     return known.groupBy(*keys).agg(F.avg(F.log((F.col("n_docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("name_weight"))
 
 
-def joined(a: Column) -> Column:
-    return F.array_join(F.array_sort(F.array_distinct(a)), " ")
-
-
-def pair_features(e: DataFrame) -> dict[str, Column]:
-    rn, tn, ra, ta = F.col("ref_name_norm"), F.col("tgt_name_norm"), F.col("ref_addr_norm"), F.col("tgt_addr_norm")
+def pair_features(with_weight: bool = True) -> dict[str, Column]:
+    """The features by name, in order, over columns ref_VIEW, tgt_VIEW and the edge's own (and name_weight)."""
+    two = lambda view: (F.col(f"ref_{view}"), F.col(f"tgt_{view}"))
+    (rn, tn), (ra, ta), (rs, ts), (ras, tas) = two("name_norm"), two("addr_norm"), two("name_set"), two("addr_set")
+    (rcore, tcore), (rnum, tnum), (rall, tall) = two("name_core"), two("addr_num_set"), two("addr_nums")
+    (rsk, tsk), (rask, task), (rsc, tsc) = two("name_skel"), two("addr_skel"), two("name_skel_core")
+    words = lambda c: F.array_join(c, " ")
     no_name, no_addr = (rn == "") | (tn == ""), (ra == "") | (ta == "")
-    rnt, tnt, rat, tat = token_set(rn), token_set(tn), token_set(ra), token_set(ta)
-    same_set = lambda a, b: different(a, b) == 0
-    rnum, tnum, rall, tall = numeric_tokens(ra), numeric_tokens(ta), F.array_distinct(numbers(ra)), F.array_distinct(numbers(ta))
-    rcore, tcore = core_tokens(rn), core_tokens(tn)
-    rsk, tsk, rask, task = (F.array_distinct(skeletons(x)) for x in (rn, tn, ra, ta))
-    dull = F.array(*[skeleton_token(F.lit(w)) for w in GENERIC_WORDS])
     num = lambda c: c.cast("double")
     named = lambda c: F.when(no_name, 0.0).otherwise(c)
     placed = lambda c: F.when(no_addr, 0.0).otherwise(c)
+    same = lambda a, b: different(a, b) == 0
+    seen = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("double")
+    jw = jaro_winklers((rn, tn), (words(rs), words(ts)), (ra, ta), two("name_fold"), two("addr_fold"), (words(rsk), words(tsk)))
+    jw = {k: F.get(jw, F.lit(i)) for i, k in enumerate(("name", "sorted", "addr", "name_fold", "addr_fold", "skeleton"))}
     both_numbers = (F.size(rall) > 0) & (F.size(tall) > 0)
-    f = {
-        "name_jw": named(jaro_winkler(rn, tn)), "name_lev_norm": named(levenshtein_ratio(rn, tn)), "name_tok_jaccard": jaccard(rnt, tnt),
-        "name_tok_overlap": num(F.size(F.array_intersect(rnt, tnt))), "name_exact": num(rn == tn), "name_sorted_exact": num(same_set(rnt, tnt)),
-        "name_sorted_jw": jaro_winkler(joined(rnt), joined(tnt)), "name_len_ratio": length_ratio(rn, tn), "name_char_len_diff": num(F.abs(F.length(rn) - F.length(tn))),
-        "name_containment": num(contained(rnt, tnt)), "name_shared_df_weight": F.coalesce("name_weight", F.lit(0.0)), "name_target_indic": num(F.col("tgt_name_indic")), "name_ref_indic": num(F.col("ref_name_indic")),
-        "addr_jw": placed(jaro_winkler(ra, ta)), "addr_lev_norm": placed(levenshtein_ratio(ra, ta)), "addr_tok_jaccard": jaccard(rat, tat),
-        "addr_exact": num((ra == ta) & ~no_addr), "addr_sorted_exact": num(same_set(rat, tat) & ~no_addr), "addr_shared_numeric": num(F.size(F.array_intersect(rnum, tnum))),
-        "addr_numeric_jaccard": jaccard(rnum, tnum), "addr_len_ratio": length_ratio(ra, ta), "addr_char_len_diff": num(F.abs(F.length(ra) - F.length(ta))),
-        "addr_target_missing": num(ta == ""), "addr_ref_missing": num(ra == ""),
-        "name_exact_addr_conflict": num((rn == tn) & ~no_addr & (jaccard(rat, tat) == 0)), "name_exact_addr_missing": num((rn == tn) & no_addr),
-        "fused_v": F.col("v"), "rank": num(F.col("name_rank")), "margin_g": F.coalesce("margin", F.lit(0.0)), "is_name_top1": num(F.col("name_rank") == 1), "is_addr_top1": num(F.col("addr_rank") == 1),
-        "name_lane_score": F.col("name_score"), "addr_lane_score": F.col("addr_score"), "pool_size": num(F.col("pool_size")), "joint_rank": num(F.col("joint_rank")), "joint_score": F.col("joint_score"), "source_s2": num(F.col("src") == 2),
-        "addr_num_jaccard_all": jaccard(rall, tall), "addr_num_conflict": num(both_numbers & (F.size(F.array_intersect(rall, tall)) == 0)),
-        "addr_first_num_eq": F.when(~both_numbers, -1.0).otherwise(num(F.get(numbers(ra), F.lit(0)) == F.get(numbers(ta), F.lit(0)))), "addr_num_symdiff": num(different(rall, tall)),
-        "name_fold_jw": named(jaro_winkler(F.col("ref_name_fold"), F.col("tgt_name_fold"))), "addr_fold_jw": placed(jaro_winkler(F.col("ref_addr_fold"), F.col("tgt_addr_fold"))),
-        "name_core_jaccard": jaccard(rcore, tcore), "name_core_exact": num(same_set(rcore, tcore) & (F.size(rcore) > 0)), "name_core_missing_tokens": num(different(rcore, tcore)),
-        "name_skel_jaccard": jaccard(rsk, tsk), "name_skel_jw": jaro_winkler(joined(rsk), joined(tsk)), "name_skel_core_jaccard": jaccard(F.array_except(rsk, dull), F.array_except(tsk, dull)), "addr_skel_jaccard": placed(jaccard(rask, task)),
-    }
-    return f
+    rset, tset = F.array_distinct(rall), F.array_distinct(tall)
+    return {
+        "name_jw": named(jw["name"]),
+        "name_lev_norm": named(levenshtein_ratio(rn, tn)),
+        "name_tok_jaccard": jaccard(rs, ts),
+        "name_tok_overlap": num(F.size(F.array_intersect(rs, ts))),
+        "name_exact": num(rn == tn),
+        "name_sorted_exact": num(rs == ts),
+        "name_sorted_jw": jw["sorted"],
+        "name_len_ratio": length_ratio(rn, tn),
+        "name_char_len_diff": num(F.abs(F.length(rn) - F.length(tn))),
+        "name_containment": num(contained(rs, ts)),
+        "name_shared_df_weight": seen("name_weight") if with_weight else F.lit(0.0),
+        "name_target_indic": num(F.col("tgt_name_indic")),
+        "name_ref_indic": num(F.col("ref_name_indic")),
+        "addr_jw": placed(jw["addr"]),
+        "addr_lev_norm": placed(levenshtein_ratio(ra, ta)),
+        "addr_tok_jaccard": jaccard(ras, tas),
+        "addr_exact": num((ra == ta) & ~no_addr),
+        "addr_sorted_exact": num((ras == tas) & ~no_addr),
+        "addr_shared_numeric": num(F.size(F.array_intersect(rnum, tnum))),
+        "addr_numeric_jaccard": jaccard(rnum, tnum),
+        "addr_len_ratio": length_ratio(ra, ta),
+        "addr_char_len_diff": num(F.abs(F.length(ra) - F.length(ta))),
+        "addr_target_missing": num(ta == ""),
+        "addr_ref_missing": num(ra == ""),
+        "name_exact_addr_conflict": num((rn == tn) & ~no_addr & (jaccard(ras, tas) == 0)),
+        "name_exact_addr_missing": num((rn == tn) & no_addr),
+        "fused_v": seen("v"),
+        "rank": seen("name_rank"),
+        "margin_g": seen("margin"),
+        "is_name_top1": num(F.col("name_rank") == 1),
+        "is_addr_top1": num(F.col("addr_rank") == 1),
+        "name_lane_score": seen("name_score"),
+        "addr_lane_score": seen("addr_score"),
+        "pool_size": seen("pool_size"),
+        "joint_rank": seen("joint_rank"),
+        "joint_score": seen("joint_score"),
+        "source_s2": num(F.col("src") == 2),
+        "addr_num_jaccard_all": jaccard(rset, tset),
+        "addr_num_conflict": num(both_numbers & (F.size(F.array_intersect(rset, tset)) == 0)),
+        "addr_first_num_eq": F.when(~both_numbers, -1.0).otherwise(num(F.get(rall, F.lit(0)) == F.get(tall, F.lit(0)))),
+        "addr_num_symdiff": num(different(rset, tset)),
+        "name_fold_jw": named(jw["name_fold"]),
+        "addr_fold_jw": placed(jw["addr_fold"]),
+        "name_core_jaccard": jaccard(rcore, tcore),
+        "name_core_exact": num(same(rcore, tcore) & (F.size(rcore) > 0)),
+        "name_core_missing_tokens": num(different(rcore, tcore)),
+        "name_skel_jaccard": jaccard(rsk, tsk),
+        "name_skel_jw": jw["skeleton"],
+        "name_skel_core_jaccard": jaccard(rsc, tsc),
+        "addr_skel_jaccard": placed(jaccard(rask, task)),
+    }
 
 
 def enrich(edges: DataFrame, records: DataFrame) -> DataFrame:
-    """Edges with the views of both sides."""
-    views = ["name_norm", "addr_norm", "name_fold", "addr_fold", "name_indic", "addr_indic"]
-    side = lambda p, **k: records.select(*[F.col(c).alias(n) for n, c in k.items()], *[F.col(v).alias(f"{p}_{v}") for v in views])
-    return edges.join(side("tgt", src="src", tgt_id="rec_id", country="country"), ["src", "tgt_id"]).join(side("ref", ref_id="rec_id"), "ref_id")
+    """Edges with the views of both sides and the target's country."""
+    side = lambda p, *keys: records.select(*keys, *[F.col(v).alias(f"{p}_{v}") for v in VIEWS])
+    own = edges.drop("country")
+    return own.join(side("tgt", "src", F.col("rec_id").alias("tgt_id"), "country"), ["src", "tgt_id"]).join(side("ref", F.col("rec_id").alias("ref_id")), "ref_id")
+
+
+def feature_rows(edges: DataFrame, records: DataFrame, dfs: DataFrame, stats: DataFrame) -> DataFrame:
+    """(src, tgt_id, ref_id, country, the features) of edges; dfs and stats as the index has them."""
+    full = enrich(edges, records)
+    weight = shared_term_weight(full, dfs, stats.where("field = 'name'").select("country", "n_docs"))
+    full = full.join(weight, ["src", "tgt_id", "ref_id"], "left")
+    return full.select("src", "tgt_id", "ref_id", "country", *[c.alias(n) for n, c in pair_features().items()])

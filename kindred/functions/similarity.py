@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,25 +34,31 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 
 
 def jaro_winkler_text(a: str, b: str) -> float:
-    """Jaro similarity, raised above 0.7 by a common prefix of up to four characters."""
+    """Jaro similarity, raised above 0.7 by a common prefix of up to four characters.
+
+    A sign of `a` takes the first free equal sign of `b` in reach. Reaches only move on, so the places of each sign
+    form a queue, and the whole takes time in proportion to the lengths.
+    """
     if not a or not b:
         return 0.0
     if a == b:
         return 1.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    free = [True] * len(b)
-    left = []
+    places: dict[str, deque[int]] = {}
+    for j, ch in enumerate(b):
+        places.setdefault(ch, deque()).append(j)
+    left, taken = [], []
     for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if free[j] and b[j] == ch:
-                free[j] = False
-                left.append(ch)
-                break
+        queue = places.get(ch)
+        while queue and queue[0] < i - reach:
+            queue.popleft()
+        if queue and queue[0] <= i + reach:
+            left.append(ch)
+            taken.append(queue.popleft())
     m = len(left)
     if not m:
         return 0.0
-    right = [ch for ch, f in zip(b, free, strict=True) if not f]
-    swaps = sum(x != y for x, y in zip(left, right, strict=True)) // 2
+    swaps = sum(x != b[j] for x, j in zip(left, sorted(taken), strict=True)) // 2
     s = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     if s > 0.7:
         p = 0
@@ -60,10 +68,20 @@ def jaro_winkler_text(a: str, b: str) -> float:
     return s
 
 
-@F.pandas_udf(T.DoubleType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _jaro_winklers(a: pd.Series, b: pd.Series) -> pd.Series:
     seen: dict = {}
-    return pd.Series([seen[x] if (x := (p, q)) in seen else seen.setdefault(x, jaro_winkler_text(p, q)) for p, q in zip(a, b, strict=True)], dtype="float64")
+    each = lambda p, q: seen[p, q] if (p, q) in seen else seen.setdefault((p, q), jaro_winkler_text(p, q))
+    return pd.Series([[each(p, q) for p, q in zip(x, y, strict=True)] for x, y in zip(a, b, strict=True)])
+
+
+def jaro_winklers(*pairs: tuple[Column, Column]) -> Column:
+    """An array of the similarities of several pairs of texts, for one trip to Python."""
+    return _jaro_winklers(F.array(*[p for p, _ in pairs]), F.array(*[q for _, q in pairs]))
+
+
+def jaro_winkler(a: Column, b: Column) -> Column:
+    return F.get(jaro_winklers((a, b)), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -39,15 +39,6 @@ def _folded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
 
-def with_normal(df: DataFrame, **views: str) -> DataFrame:
-    """Adds normalised views, new=column: NFKC, case folded, squeezed. ASCII rows never leave the JVM."""
-    cols = [F.col(c) for c in views.values()]
-    plain = is_ascii(F.concat(*[F.coalesce(c, F.lit("")) for c in cols]))
-    fast = df.where(plain).withColumns({n: squeeze(F.lower(F.col(c))) for n, c in views.items()})
-    slow = df.where(~plain).withColumns({n: squeeze(_folded(F.col(c))) for n, c in views.items()})
-    return fast.unionByName(slow)
-
-
 def latin_fold(c: Column) -> Column:
     """Drops accents of Latin letters; marks of other scripts stay."""
     return F.regexp_replace(F.translate(c, "".join(_LATIN), _BASES), r"(?<=[A-Za-z0-9])[̀-ͯ]+", "")
@@ -102,6 +93,7 @@ def skeleton_token(t: Column) -> Column:
 
 
 def skeletons(c: Column) -> Column:
+    """Skeletons of the words of a view in Latin letters."""
     return F.filter(F.transform(F.split(c, " "), skeleton_token), lambda t: t != "")
 
 
@@ -121,6 +113,7 @@ def _class(offsets) -> str:
     return "".join(chr(0x900 + 0x80 * block + k) for block in range(9) for k in offsets)
 
 
+_INDIC = re.compile("[\u0900-\u0dff]")
 _SYLLABLE = re.compile(f"([{_class(CONSONANTS)}])[{_class([NUKTA])}]*([{_class([*SIGNS, VIRAMA])}])?|[\u0900-\u0d7f]")
 _SILENT = re.compile(f"[^\u0900-\u0d7f{_class([NUKTA])}]|[{_class([*NASALS, NUKTA])}]|$")
 
@@ -145,10 +138,13 @@ def transliterate_text(text: str) -> str:
 
 @F.pandas_udf(T.StringType())
 def _latin(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else transliterate_text(x))
+    return s.map(lambda x: transliterate_text(x) if x and _INDIC.search(x) else x)
 
 
-def with_latin(df: DataFrame, new: str, column: str) -> DataFrame:
-    """Adds a transliterated view; only rows with Indic letters go through Python."""
-    native = F.coalesce(is_indic(F.col(column)), F.lit(False))
-    return df.where(~native).withColumn(new, F.col(column)).unionByName(df.where(native).withColumn(new, _latin(F.col(column))))
+def with_views(df: DataFrame, **raw: str) -> DataFrame:
+    """Adds for each new=column the views new_norm (NFKC, case folded, squeezed) and new_latin (that in Latin letters).
+    Rows of ASCII alone never leave the JVM."""
+    plain = is_ascii(F.concat(F.lit(""), *[F.coalesce(c, F.lit("")) for c in raw.values()]))
+    fast = df.where(plain).withColumns({f"{n}_norm": squeeze(F.lower(F.col(c))) for n, c in raw.items()}).withColumns({f"{n}_latin": F.col(f"{n}_norm") for n in raw})
+    slow = df.where(~plain).withColumns({f"{n}_norm": squeeze(_folded(F.col(c))) for n, c in raw.items()}).withColumns({f"{n}_latin": _latin(F.col(f"{n}_norm")) for n in raw})
+    return fast.unionByName(slow)

@@ -6,6 +6,8 @@ rounded before they are ranked, so equal scores tie in every engine; ties go to
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +38,11 @@ def corpus_stats(refs: DataFrame) -> DataFrame:
 
 
 def rare_terms(queries: DataFrame, dfs: DataFrame, most: int = MAX_TERMS) -> DataFrame:
-    """(src, tgt_id, country, field, term, df): the rarest known terms of each query and field."""
+    """(src, tgt_id, country, field, term, df, k): the rarest known terms of each query and field, k-th from the rarest."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_terms").alias("terms")) for f in FIELDS])).alias("x")
     terms = queries.select("src", F.col("rec_id").alias("tgt_id"), "country", each).select("src", "tgt_id", "country", "x.field", F.explode("x.terms").alias("term"))
     order = Window.partitionBy("src", "tgt_id", "field").orderBy("df", "term")
-    return terms.join(dfs, ["country", "field", "term"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("src", "tgt_id", "country", "field", "term", "df")
+    return terms.join(dfs, ["country", "field", "term"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("src", "tgt_id", "country", "field", "term", "df", "k")
 
 
 def scored(plan: DataFrame, posts: DataFrame, stats: DataFrame) -> DataFrame:
@@ -90,13 +92,30 @@ def compact(pool: DataFrame, budget: int | Column = BUDGET) -> DataFrame:
     return pool.withColumn("place", place).where(F.col("place") <= budget).drop("place")
 
 
-def adaptive_budget(pool: DataFrame, gap: float = 0.1, hard: int = 4) -> DataFrame:
-    """One candidate where both lanes agree clearly, `hard` where evidence is thin or leaders differ, else two."""
+def adaptive_budget(pool: DataFrame, targets: DataFrame, gap: float = 0.05, hard: int = 3) -> DataFrame:
+    """One candidate where both lanes lead with the same reference and the margin reaches `gap`; else `hard` where the
+    target (src, tgt_id, addr_missing, indic) lacks an address or is Indic or the leaders differ; else two."""
     q = Window.partitionBy("src", "tgt_id")
     lead = lambda f: F.max(F.when(F.col(f"{f}_rank") == 1, F.col("ref_id"))).over(q)
     n, a = lead("name"), lead("addr")
-    budget = F.when((n == a) & (F.col("margin") >= gap), 1).when(n.isNull() | a.isNull() | (n != a), hard).otherwise(2)
-    return compact(pool.withColumn("budget", budget), F.col("budget"))
+    flagged = pool.join(targets.select("src", "tgt_id", (F.col("addr_missing") | F.col("indic")).alias("hard_")), ["src", "tgt_id"], "left")
+    budget = F.when((n == a) & (F.col("margin") >= gap), 1).when(F.coalesce("hard_", F.lit(False)) | n.isNull() | a.isNull() | (n != a), hard).otherwise(2)
+    return compact(flagged.withColumn("budget", budget), F.col("budget")).drop("hard_")
+
+
+def address_pairs(targets: DataFrame, dfs: DataFrame, posts: DataFrame, k: int = LANE_K) -> DataFrame:
+    """(src, tgt_id, ref_id, rank): references whose address has both of two words of the target's, its rarest word with a
+    digit and the rarest other, without such a word its two rarest; ranked by how rare the two are together, then by id.
+    targets: (src, rec_id, country, addr_set), words by their document frequency in addresses."""
+    words = targets.select("src", F.col("rec_id").alias("tgt_id"), "country", F.explode("addr_set").alias("term"))
+    known = words.join(dfs.where("field = 'addr'").select("country", "term", "df"), ["country", "term"])
+    order = Window.partitionBy("src", "tgt_id").orderBy(F.col("term").rlike(r"\d").cast("int").desc(), "df", "term")
+    first = known.withColumn("k", F.row_number().over(order)).where("k = 1").select("src", "tgt_id", "country", F.when(F.col("term").rlike(r"\d"), F.col("term")).alias("number"))
+    rarest = Window.partitionBy("src", "tgt_id").orderBy((~F.col("term").eqNullSafe(F.col("number"))).cast("int"), "df", "term")
+    two = known.join(first, ["src", "tgt_id", "country"]).withColumn("k", F.row_number().over(rarest)).where("k <= 2").select("src", "tgt_id", "country", "term", "df")
+    hits = two.join(posts.where("field = 'addr'").select("country", "term", "ref_id"), ["country", "term"])
+    both = hits.groupBy("src", "tgt_id", "ref_id").agg(F.count(F.lit(1)).alias("n"), F.sum("df").alias("dfs")).where("n = 2")
+    return top(both, ["src", "tgt_id"], [F.col("dfs"), F.col("ref_id")], k).select("src", "tgt_id", "ref_id", "rank")
 
 
 def with_joint(pool: DataFrame, joined: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -109,13 +128,34 @@ def with_joint(pool: DataFrame, joined: DataFrame, budget: int = BUDGET) -> Data
     return each.select(*keys, F.coalesce("v", F.lit(0.0)).alias("v"), *[zero(c).alias(c) for c in ("name_rank", "addr_rank", "joint_rank", "pool_size")], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("name_score", "addr_score", "joint_score", "margin")])
 
 
-def candidate_edges(records: DataFrame, lane_k: int = LANE_K, joint_k: int = JOINT_K, budget: int = BUDGET, ref: Column | None = None) -> DataFrame:
-    """Candidates of every target. `ref` tells which records are indexed (source 1 unless given)."""
+def candidate_edges(records: DataFrame, lane_k: int = LANE_K, joint_k: int = JOINT_K, budget: int = BUDGET, ref: Column | None = None, max_terms: int = MAX_TERMS, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Candidates of every target. `ref` tells which records are indexed (source 1 unless given). `keep` may write what is
+    read more than once: the postings, the terms of each query, the pool."""
     ref = F.col("src") == 1 if ref is None else ref
     refs, targets = records.where(ref), records.where(~ref)
-    posts, stats = postings(refs), corpus_stats(refs)
-    dfs = df_map(posts)
-    pool = fuse(lanes(rare_terms(targets, dfs), posts, stats, lane_k))
+    posts, stats = keep(postings(refs)), corpus_stats(refs)
+    plan = keep(rare_terms(targets, df_map(posts), max(max_terms, JOINT_TERMS if joint_k else 0)))
+    pool = keep(fuse(lanes(plan.where(F.col("k") <= max_terms), posts, stats, lane_k)))
     if not joint_k:
         return compact(pool, budget)
-    return with_joint(pool, joint(rare_terms(targets, dfs, JOINT_TERMS), posts, stats, joint_k), budget)
+    return with_joint(pool, joint(plan.where(F.col("k") <= JOINT_TERMS), posts, stats, joint_k), budget)
+
+
+def screen(records: DataFrame, truth: DataFrame, settings: list[tuple[int, int, int, int]], keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(lane_k, max_terms, budget, joint_k, country, links, found, recall, pairs_per_query) of retrieval settings, over the
+    targets with a true reference; country null for all. Postings and query terms are made once for all settings."""
+    linked = records.where("src > 1").join(truth.select("src", F.col("tgt_id").alias("rec_id")).distinct(), ["src", "rec_id"], "left_semi")
+    refs = records.where("src = 1")
+    posts, stats = keep(postings(refs)), corpus_stats(refs)
+    plan = keep(rare_terms(linked, df_map(posts), max(t for _, t, _, _ in settings)))
+    out = None
+    for lane_k, max_terms, budget, joint_k in settings:
+        pool = fuse(lanes(plan.where(F.col("k") <= max_terms), posts, stats, lane_k))
+        found = with_joint(pool, joint(plan.where(F.col("k") <= JOINT_TERMS), posts, stats, joint_k), budget) if joint_k else compact(pool, budget)
+        pairs = found.groupBy("src", "tgt_id").agg(F.count(F.lit(1)).alias("pairs"))
+        hits = truth.join(found.select("src", "tgt_id", "ref_id"), ["src", "tgt_id", "ref_id"], "left_semi").select("src", "tgt_id").distinct().withColumn("hit", F.lit(1))
+        each = linked.select("src", F.col("rec_id").alias("tgt_id"), "country").join(pairs, ["src", "tgt_id"], "left").join(hits, ["src", "tgt_id"], "left")
+        sums = each.rollup("country").agg(F.grouping("country").alias("all_"), F.count(F.lit(1)).alias("links"), F.count("hit").alias("found"), (F.sum(F.coalesce("pairs", F.lit(0))) / F.count(F.lit(1))).alias("pairs_per_query"))
+        row = sums.select(F.lit(lane_k).alias("lane_k"), F.lit(max_terms).alias("max_terms"), F.lit(budget).alias("budget"), F.lit(joint_k).alias("joint_k"), "country", "links", "found", (F.col("found") / F.col("links")).alias("recall"), "pairs_per_query")
+        out = row if out is None else out.union(row)
+    return out
