@@ -10,7 +10,7 @@ TEXTS = {0: HEAD + "one\nx", 3: HEAD + "two\nx", 6: HEAD + "one\nx", 9: "k\nsame
 
 def test_whole_texts_are_read(spark, tmp_path):
     spark.createDataFrame([(i, t, "en") for i, t in TEXTS.items()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    ask = lambda name: entry.queries()[f"whole_{name}"](spark, str(tmp_path)).collect()
+    ask = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
     same = Counter((i % 3, t) for i, t in TEXTS.items())
     want = {(n, min(i for i, t in TEXTS.items() if (i % 3, t) == k)) for k, n in same.items() if n > 1}
     assert {(r.n, r.first_id) for r in ask("duplicate_groups")} == want == {(2, 0), (2, 9)}
