@@ -24,7 +24,7 @@ _OUTSIDE = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
 #: Words of the text as it stands, which are lower-cased one by one, and what parts them.
 WORD, BETWEEN = f"[^{_OUTSIDE}]+", f"[{_OUTSIDE}]+"
 WINDOW = 10
-#: Up to so many different test terms are sent to where the texts are; more are joined after counting.
+#: Up to so many different test terms are sent to where the texts are; more meet the words by a shuffle.
 SMALL = 100_000
 
 
@@ -65,14 +65,29 @@ def corpus_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(terms, "term")
 
 
+def around_word(words: Column, pos: Column, around: int) -> Column:
+    """The words up to `around` before and after position `pos` as they stand, joined by blanks."""
+    first = F.greatest(pos - around, F.lit(0))
+    return F.array_join(F.slice(words, first + 1, pos - first + around + 1), " ")
+
+
 def postings(docs: DataFrame, terms: DataFrame, around: int = 0) -> DataFrame:
-    """(d1, d2, term, pos, near) of each place of the terms (term, lead), positions from 0. `near` are the
-    words up to `around` before and after it as they stand, joined by blanks, for leading terms only. Repeated rows repeat."""
-    words = docs.select(*doc_key(), split_words("text").alias("ws")).select("*", F.posexplode("ws").alias("pos", "t")).select("d1", "d2", "ws", ascii_lower("t").alias("term"), "pos")
-    small = terms.count() <= SMALL
-    first = F.greatest(F.col("pos") - around, F.lit(0))
-    near = F.when(F.col("lead"), F.array_join(F.slice("ws", first + 1, F.col("pos") - first + around + 1), " "))
-    return words.join(F.broadcast(terms) if small else terms, "term").select("d1", "d2", "term", "pos", near.alias("near"))
+    """(d1, d2, term, pos, near) of each place of the terms (term, lead), positions from 0. `near` are the words
+    around it, for leading terms only; null where the terms are too many to be sent to the texts: words then move
+    without their texts, and contexts() finds what is around those that matter. Repeated rows repeat."""
+    words = docs.select(*doc_key(), split_words("text").alias("ws")).select("*", F.posexplode("ws").alias("pos", "t"))
+    if terms.count() <= SMALL:
+        near = F.when(F.col("lead"), around_word(F.col("ws"), F.col("pos"), around))
+        return words.select("d1", "d2", "ws", ascii_lower("t").alias("term"), "pos").join(F.broadcast(terms), "term").select("d1", "d2", "term", "pos", near.alias("near"))
+    return words.select("d1", "d2", ascii_lower("t").alias("term"), "pos").join(terms, "term").select("d1", "d2", "term", "pos", F.lit(None).cast("string").alias("near"))
+
+
+def contexts(docs: DataFrame, places: DataFrame, around: int) -> DataFrame:
+    """(d1, d2, pos, near) of places (d1, d2, pos): only texts that hold one are joined, each once with all its places."""
+    of = places.groupBy("d1", "d2").agg(F.collect_set("pos").alias("at"))
+    texts = docs.select(*doc_key(), split_words("text").alias("ws")).join(of, ["d1", "d2"])
+    each = texts.select("d1", "d2", "ws", F.explode("at").alias("pos"))
+    return each.select("d1", "d2", "pos", around_word(F.col("ws"), F.col("pos"), around).alias("near")).groupBy("d1", "d2", "pos").agg(F.first("near").alias("near"))
 
 
 def by_rarity(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -102,7 +117,12 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> tup
     rare = cut(ranked.where("r <= 2").groupBy("term").agg(F.max(F.col("r") == 1).alias("lead")))
     stored = cut(postings(docs, rare, size - 1))
     index = stored.select("d1", "d2", "term", "pos").distinct()
-    found = candidates(index, ranked).join(stored.where("near is not null"), ["d1", "d2", "term", "pos"])
+    found = candidates(index, ranked)
+    if rare.count() <= SMALL:
+        found = found.join(stored.where("near is not null"), ["d1", "d2", "term", "pos"])
+    else:
+        found = cut(found)
+        found = found.join(contexts(docs, found, size - 1), ["d1", "d2", "pos"])
     # The words around the rarest term decide the rest of the phrase.
     before = F.least(F.col("pos"), F.lit(size - 1))
     n = F.size(F.split("w", " "))
