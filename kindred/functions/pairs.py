@@ -11,6 +11,20 @@ from pyspark.sql import functions as F
 from .similarity import contained, different, jaccard, jaro_winklers, length_ratio, levenshtein_ratio
 from .text import GENERIC_WORDS, core_tokens, numbers, numeric_tokens, skeleton_token, skeletons, token_set
 
+# The features' names, in order.
+FEATURES = tuple(
+    """
+name_jw name_lev_norm name_tok_jaccard name_tok_overlap name_exact name_sorted_exact
+name_sorted_jw name_len_ratio name_char_len_diff name_containment name_shared_df_weight name_target_indic
+name_ref_indic addr_jw addr_lev_norm addr_tok_jaccard addr_exact addr_sorted_exact
+addr_shared_numeric addr_numeric_jaccard addr_len_ratio addr_char_len_diff addr_target_missing addr_ref_missing
+name_exact_addr_conflict name_exact_addr_missing fused_v rank margin_g is_name_top1
+is_addr_top1 name_lane_score addr_lane_score pool_size joint_rank joint_score
+source_s2 addr_num_jaccard_all addr_num_conflict addr_first_num_eq addr_num_symdiff name_fold_jw
+addr_fold_jw name_core_jaccard name_core_exact name_core_missing_tokens name_skel_jaccard name_skel_jw
+name_skel_core_jaccard addr_skel_jaccard
+""".split()
+)
 #: What enrich() carries of either record.
 VIEWS = ("name_norm", "addr_norm", "name_fold", "addr_fold", "name_indic", "addr_indic", "name_set", "addr_set", "name_core", "addr_num_set", "addr_nums", "name_skel", "addr_skel", "name_skel_core")
 

@@ -11,13 +11,12 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pairs import feature_rows, pair_features, with_sets
+from ..functions.pairs import FEATURES, feature_rows, with_sets
 from ..functions.similarity import platt
 from ..operators import audit, decide, model, retrieval, splits
 from ..sources import records as R
 from ..sources.store import Store, written
 
-FEATURES = list(pair_features())
 SOURCES = (1, 2, 3)
 
 
