@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .similarity import contained, different, jaccard, jaro_winklers, length_ratio, levenshtein_ratio
-from .text import GENERIC_WORDS, core_tokens, numbers, numeric_tokens, skeleton_token, skeletons, token_set
+from .text import GENERIC_WORDS, core_tokens, numbers, numeric_tokens, skeleton_token, skeletons_of, token_set
 
 # The features' names, in order.
 FEATURES = tuple(
@@ -32,7 +32,7 @@ VIEWS = ("name_norm", "addr_norm", "name_fold", "addr_fold", "name_indic", "addr
 def with_sets(views: DataFrame) -> DataFrame:
     """Adds the sets and lists of a record's views that pair features compare."""
     dull = F.array(*[skeleton_token(F.lit(w)) for w in GENERIC_WORDS])
-    skeleton = lambda f: F.array_sort(F.array_distinct(skeletons(F.col(f"{f}_latin"))))
+    skeleton = lambda f: F.array_sort(F.array_distinct(skeletons_of(F.array_distinct(F.split(f"{f}_latin", " ")))))
     out = views.withColumns({"name_set": F.array_sort(token_set(F.col("name_norm"))), "addr_set": F.array_sort(token_set(F.col("addr_norm"))), "name_core": core_tokens(F.col("name_norm")), "addr_num_set": numeric_tokens(F.col("addr_norm")), "addr_nums": numbers(F.col("addr_norm")), "name_skel": skeleton("name"), "addr_skel": skeleton("addr")})
     return out.withColumn("name_skel_core", F.array_except("name_skel", dull))
 

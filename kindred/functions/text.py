@@ -49,12 +49,13 @@ def tokens(c: Column, least: int = 2) -> Column:
 
 
 def trigrams(c: Column) -> Column:
-    long = F.filter(F.split(c, " "), lambda t: F.length(t) >= 4)
-    return F.flatten(F.transform(long, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))))
+    """Each three neighbouring characters of words of at least four, in order."""
+    return F.regexp_extract_all(c, F.lit(r"(?=([^ ]{3}))(?:(?<=[^ ])|(?=[^ ]{4}))"), F.lit(1))
 
 
 def merged_terms(norm: Column, fold: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.concat(trigrams(norm), tokens(norm), trigrams(fold))))
+    folded = F.when(fold == norm, F.array().cast("array<string>")).otherwise(trigrams(fold))
+    return F.array_sort(F.array_distinct(F.concat(trigrams(norm), tokens(norm), folded)))
 
 
 def is_indic(c: Column) -> Column:
@@ -94,7 +95,11 @@ def skeleton_token(t: Column) -> Column:
 
 def skeletons(c: Column) -> Column:
     """Skeletons of the words of a view in Latin letters."""
-    return F.filter(F.transform(F.split(c, " "), skeleton_token), lambda t: t != "")
+    return skeletons_of(F.split(c, " "))
+
+
+def skeletons_of(words: Column) -> Column:
+    return F.filter(F.transform(words, skeleton_token), lambda t: t != "")
 
 
 # Latin spelling by the offset in a block of 128 signs; the blocks follow one layout.

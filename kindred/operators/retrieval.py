@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import merged_terms
+from ..functions.text import merged_terms, tokens, trigrams
 
 FIELDS = ("name", "addr")
 MAX_TERMS, JOINT_TERMS, LANE_K, JOINT_K, BUDGET, RRF = 16, 8, 8, 2, 2, 60
@@ -21,6 +21,12 @@ def with_terms(views: DataFrame) -> DataFrame:
     return views.withColumns({f"{f}_terms": merged_terms(F.col(f"{f}_norm"), F.col(f"{f}_fold")) for f in FIELDS})
 
 
+def term_streams(views: DataFrame) -> DataFrame:
+    """Adds the six streams that a field's terms come from, as arrays in the order of the text: trigrams, words and trigrams
+    of the folded view, of name and address."""
+    return views.withColumns({f"{f}_{kind}": of(F.col(f"{f}_{view}")) for f in FIELDS for kind, of, view in (("tri", trigrams, "norm"), ("word", tokens, "norm"), ("foldtri", trigrams, "fold"))})
+
+
 def postings(refs: DataFrame) -> DataFrame:
     """(country, field, term, ref_id, dl): each term once for a document, with the document's term count."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_terms").alias("terms")) for f in FIELDS])).alias("x")
@@ -45,12 +51,23 @@ def rare_terms(queries: DataFrame, dfs: DataFrame, most: int = MAX_TERMS) -> Dat
     return terms.join(dfs, ["country", "field", "term"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("src", "tgt_id", "country", "field", "term", "df", "k")
 
 
-def scored(plan: DataFrame, posts: DataFrame, stats: DataFrame) -> DataFrame:
-    """(src, tgt_id, field, ref_id, score): BM25 with single term occurrences."""
+def distinct_queries(plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(queries, members): a plan's different queries (q, country, field, term, df), and which of them each target asks of
+    each field (src, tgt_id, field, q). Copies of a record ask the same, so they are searched for once; q is 128 bits of the
+    country, the field and the terms."""
+    asked = plan.groupBy("src", "tgt_id", "country", "field").agg(F.array_sort(F.collect_list(F.struct("term", "df"))).alias("terms"))  # MAX_TERMS at most
+    words = F.transform("terms", lambda t: t["term"])
+    keyed = asked.withColumn("q", F.struct(F.xxhash64("country", "field", words).alias("a"), F.xxhash64(words, F.lit("q"), "field", "country").alias("b")))
+    each = keyed.groupBy("q").agg(F.first("country").alias("country"), F.first("field").alias("field"), F.first("terms").alias("terms"))
+    return each.select("q", "country", "field", F.explode("terms").alias("t")).select("q", "country", "field", "t.term", "t.df"), keyed.select("src", "tgt_id", "field", "q")
+
+
+def scored(queries: DataFrame, posts: DataFrame, stats: DataFrame) -> DataFrame:
+    """(q, field, ref_id, score) of queries (q, country, field, term, df): BM25 with single term occurrences."""
     n, df = F.col("n_docs"), F.col("df")
     weight = F.log(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    hits = plan.join(F.broadcast(stats), ["country", "field"]).join(posts, ["country", "field", "term"])  # stats: two rows for each country
-    return hits.groupBy("src", "tgt_id", "field", "ref_id").agg(F.round(F.sum(weight), 6).alias("score"))
+    hits = queries.join(F.broadcast(stats), ["country", "field"]).join(posts, ["country", "field", "term"])  # stats: two rows for each country
+    return hits.groupBy("q", "field", "ref_id").agg(F.round(F.sum(weight), 6).alias("score"))
 
 
 def top(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -59,14 +76,21 @@ def top(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str =
 
 def lanes(plan: DataFrame, posts: DataFrame, stats: DataFrame, k: int = LANE_K) -> DataFrame:
     """(src, tgt_id, field, ref_id, score, rank): the best of each lane."""
-    return top(scored(plan, posts, stats), ["src", "tgt_id", "field"], [F.desc("score"), F.col("ref_id")], k)
+    queries, members = distinct_queries(plan)
+    best = top(scored(queries, posts, stats), ["q"], [F.desc("score"), F.col("ref_id")], k)
+    return members.join(best.drop("field"), "q").select("src", "tgt_id", "field", "ref_id", "score", "rank")
 
 
 def joint(plan: DataFrame, posts: DataFrame, stats: DataFrame, k: int = JOINT_K) -> DataFrame:
     """(src, tgt_id, ref_id, joint_score, joint_rank): references that share rare terms of name and of address."""
-    s = scored(plan, posts, stats)
-    both = s.groupBy("src", "tgt_id", "ref_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("joint_score")).where("n = 2").drop("n")
-    return top(both, ["src", "tgt_id"], [F.desc("joint_score"), F.col("ref_id")], k, "joint_rank")
+    queries, members = distinct_queries(plan)
+    of = lambda f: F.max(F.when(F.col("field") == f, F.col("q"))).alias(f)
+    asks = members.groupBy("src", "tgt_id").agg(*[of(f) for f in FIELDS]).where(" AND ".join(f"{f} IS NOT NULL" for f in FIELDS))
+    s = scored(queries, posts, stats)
+    side = lambda f: s.where(F.col("field") == f).select(F.col("q").alias(f), "ref_id", F.col("score").alias(f"{f}_s"))
+    both = asks.select(*FIELDS).distinct().join(side("name"), "name").join(side("addr"), ["addr", "ref_id"])
+    best = top(both.withColumn("joint_score", F.round(F.col("name_s") + F.col("addr_s"), 6)), list(FIELDS), [F.desc("joint_score"), F.col("ref_id")], k, "joint_rank")
+    return asks.join(best, list(FIELDS)).select("src", "tgt_id", "ref_id", "joint_score", "joint_rank")
 
 
 def fuse(hits: DataFrame, rrf: int = RRF) -> DataFrame:

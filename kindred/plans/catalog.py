@@ -13,7 +13,7 @@ from ..functions import text as X
 from ..functions.pairs import enrich, pair_features, shared_term_weight, with_sets
 from ..operators import audit, decide, model, neighbours, retrieval, splits
 from ..sources.records import id_lists, record_views, scored_lists
-from ..sources.store import Store, fingerprint
+from ..sources.store import Store, fingerprint, session_root
 
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +26,10 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 class World:
     """Relations of a test folder. What several queries read (records, postings, query terms, pool, edges, scores) is made
-    once for each state of the documents and kept in the shared folder."""
+    once a session for each state of the documents and kept in the shared folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.store = Store(spark)
+        self.store = Store(spark, session_root(spark))
         self.spark, self.raw = spark, raw_records(spark, sf_dir)
         self.key = self.store.files.state(f"{sf_dir}/documents.parquet")
         self.name = fingerprint(sf_dir)[:12]
@@ -37,13 +37,19 @@ class World:
     def _kept(self, name: str, make) -> DataFrame:
         return self.store.table(f"{self.name}/{name}", self.key, make)
 
-    @property
+    @cached_property
     def views(self) -> DataFrame:
-        return self.records
+        return self._kept("views", lambda: record_views(self.raw.drop("l1", "l2")))
 
     @cached_property
     def records(self) -> DataFrame:
-        return self._kept("records", lambda: with_sets(retrieval.with_terms(record_views(self.raw.drop("l1", "l2")))))
+        """Records with the terms that retrieval asks for."""
+        return self._kept("records", lambda: retrieval.with_terms(self.views).drop("addr_latin"))
+
+    @cached_property
+    def sides(self) -> DataFrame:
+        """Records with the sets that pairs compare."""
+        return self._kept("sides", lambda: with_sets(self.views))
 
     @property
     def refs(self) -> DataFrame:
@@ -106,13 +112,19 @@ class World:
 
     @property
     def enriched(self) -> DataFrame:
-        return enrich(self.edges, self.records)
+        return enrich(self.edges, self.sides)
 
     @cached_property
     def scored(self) -> DataFrame:
         """Edges with a fixed linear score of retrieval and token evidence, and the country."""
-        j = lambda f: S.jaccard(F.col(f"ref_{f}_set"), F.col(f"tgt_{f}_set"))
-        return self._kept("scored", lambda: self.enriched.select("src", "tgt_id", "ref_id", "country", F.round(0.5 * F.col("v") + 0.3 * j("name") + 0.2 * j("addr"), 6).alias("score")))
+        sets = lambda p, *keys: self.views.select(*keys, *[X.token_set(F.col(f"{f}_norm")).alias(f"{p}_{f}") for f in ("name", "addr")])
+        j = lambda f: S.jaccard(F.col(f"r_{f}"), F.col(f"t_{f}"))
+
+        def make() -> DataFrame:
+            e = self.edges.join(sets("t", "src", F.col("rec_id").alias("tgt_id"), "country"), ["src", "tgt_id"]).join(sets("r", F.col("rec_id").alias("ref_id")), "ref_id")
+            return e.select("src", "tgt_id", "ref_id", "country", F.round(0.5 * F.col("v") + 0.3 * j("name") + 0.2 * j("addr"), 6).alias("score"))
+
+        return self._kept("scored", make)
 
     @property
     def chosen(self) -> DataFrame:
@@ -296,13 +308,14 @@ def _text(c: str):
 _E = "FROM scored"
 _ACC = "count(*) FILTER (WHERE regexp_matches(name_raw, '[^\\x00-\\x7F]'))"
 # Text views
-query("record_views", "SELECT src, rec_id, name_norm, addr_norm, name_fold, addr_fold, trim(addr_raw) = '' AS addr_missing, regexp_matches(name_raw, '[\u0900-\u0dff]') AS name_indic, regexp_matches(addr_raw, '[\u0900-\u0dff]') AS addr_indic FROM vw")(lambda w: _out(w.records, "src", "rec_id", "name_norm", "addr_norm", "name_fold", "addr_fold", "addr_missing", "name_indic", "addr_indic"))
-query("tokens_trigrams", f"SELECT rec_id, array_to_string({_T('name_norm')}, '|') AS toks, array_to_string({_G('name_norm')}, '|') AS tris FROM vw")(lambda w: w.records.select("rec_id", _text(X.tokens(F.col("name_norm"))).alias("toks"), _text(X.trigrams(F.col("name_norm"))).alias("tris")))
+query("record_views", "SELECT src, rec_id, name_norm, addr_norm, name_fold, addr_fold, trim(addr_raw) = '' AS addr_missing, regexp_matches(name_raw, '[\u0900-\u0dff]') AS name_indic, regexp_matches(addr_raw, '[\u0900-\u0dff]') AS addr_indic FROM vw")(lambda w: _out(w.views, "src", "rec_id", "name_norm", "addr_norm", "name_fold", "addr_fold", "addr_missing", "name_indic", "addr_indic"))
+query("tokens_trigrams", f"SELECT rec_id, array_to_string({_T('name_norm')}, '|') AS toks, array_to_string({_G('name_norm')}, '|') AS tris FROM vw")(lambda w: w.views.select("rec_id", _text(X.tokens(F.col("name_norm"))).alias("toks"), _text(X.trigrams(F.col("name_norm"))).alias("tris")))
 query("merged_terms", "SELECT rec_id, array_to_string(name_terms, '|') AS name_terms, array_to_string(addr_terms, '|') AS addr_terms FROM trm")(lambda w: w.records.select("rec_id", _text("name_terms").alias("name_terms"), _text("addr_terms").alias("addr_terms")))
-query("numeric_tokens", "SELECT rec_id, array_to_string(addr_nums, '|') AS nums, array_to_string(list_sort(addr_num_set), '|') AS numset FROM ft")(lambda w: w.records.select("rec_id", _text("addr_nums").alias("nums"), _text(F.array_sort("addr_num_set")).alias("numset")))
-query("core_tokens", "SELECT rec_id, array_to_string(name_set, '|') AS toks, array_to_string(list_sort(name_core), '|') AS core FROM ft")(lambda w: w.records.select("rec_id", _text("name_set").alias("toks"), _text(F.array_sort("name_core")).alias("core")))
-query("skeletons", "SELECT rec_id, coalesce(string_agg(k, ' ' ORDER BY i) FILTER (k <> ''), '') AS skeleton FROM tok JOIN wr3 USING (t) WHERE f = 'name' GROUP BY rec_id")(lambda w: w.records.select("rec_id", F.array_join(X.skeletons(F.col("name_latin")), " ").alias("skeleton")))
-query("transliteration", "SELECT rec_id, name_norm AS latin FROM vw")(lambda w: w.records.select("rec_id", F.col("name_latin").alias("latin")))
+query("term_streams", "SELECT rec_id, " + ", ".join(f"array_to_string({of(f + '_' + view)}, '|') AS {f}_{kind}" for f in ("name", "addr") for kind, of, view in (("tri", _G, "norm"), ("word", _T, "norm"), ("foldtri", _G, "fold"))) + " FROM vw WHERE src = 1")(lambda w: retrieval.term_streams(w.views.where("src = 1")).select("rec_id", *[_text(f"{f}_{k}").alias(f"{f}_{k}") for f in ("name", "addr") for k in ("tri", "word", "foldtri")]))
+query("numeric_tokens", "SELECT rec_id, array_to_string(addr_nums, '|') AS nums, array_to_string(list_sort(addr_num_set), '|') AS numset FROM ft")(lambda w: w.sides.select("rec_id", _text("addr_nums").alias("nums"), _text(F.array_sort("addr_num_set")).alias("numset")))
+query("core_tokens", "SELECT rec_id, array_to_string(name_set, '|') AS toks, array_to_string(list_sort(name_core), '|') AS core FROM ft")(lambda w: w.sides.select("rec_id", _text("name_set").alias("toks"), _text(F.array_sort("name_core")).alias("core")))
+query("skeletons", "SELECT rec_id, coalesce(string_agg(k, ' ' ORDER BY i) FILTER (k <> ''), '') AS skeleton FROM tok JOIN wr3 USING (t) WHERE f = 'name' GROUP BY rec_id")(lambda w: w.views.select("rec_id", F.array_join(X.skeletons(F.col("name_latin")), " ").alias("skeleton")))
+query("transliteration", "SELECT rec_id, name_norm AS latin FROM vw")(lambda w: w.views.select("rec_id", F.col("name_latin").alias("latin")))
 # Collections
 query("country_distribution", "SELECT src, country, count(*) AS n FROM rec GROUP BY ALL")(lambda w: _out(w.raw.groupBy("src", "country").agg(F.count(F.lit(1)).alias("n"))))
 query("target_density", "SELECT country, count(*) FILTER (WHERE src = 1) AS refs, count(*) FILTER (WHERE src > 1) AS targets, round(count(*) FILTER (WHERE src > 1) / count(*) FILTER (WHERE src = 1), 6) AS density, round(count(*) FILTER (WHERE src = 2) / count(*) FILTER (WHERE src = 1), 6) AS density_s2, round(count(*) FILTER (WHERE src = 3) / count(*) FILTER (WHERE src = 1), 6) AS density_s3 FROM rec GROUP BY country")(lambda w: _out(splits.density(w.raw)))
@@ -321,14 +334,14 @@ query("joint_lane_topk", "SELECT src, tgt_id, ref_id, joint_score, joint_rank FR
 query("rrf_fuse", "SELECT src, tgt_id, ref_id, round(v, 6) AS v, fused_rank, pool_size, round(margin, 6) AS margin FROM pool")(lambda w: _out(w.pool, "src", "tgt_id", "ref_id", "v", "fused_rank", "pool_size", "margin"))
 query("compact_strict", "SELECT src, tgt_id, ref_id, round(v, 6) AS v FROM pool WHERE place <= 2")(lambda w: _out(retrieval.compact(w.pool), "src", "tgt_id", "ref_id", "v"))
 query("candidate_edges", "SELECT src, tgt_id, ref_id, round(v, 6) AS v, name_rank, addr_rank, joint_rank, pool_size, name_score, addr_score, joint_score, round(margin, 6) AS margin FROM edges")(lambda w: _out(w.edges))
-query("adaptive_compaction", "SELECT src, tgt_id, ref_id, CAST(budget AS BIGINT) AS budget FROM (SELECT p.*, CASE WHEN n = a AND margin >= 0.05 THEN 1 WHEN trim(addr_raw) = '' OR n IS NULL OR a IS NULL OR n <> a THEN 3 ELSE 2 END AS budget FROM (SELECT *, max(CASE WHEN name_rank = 1 THEN ref_id END) OVER q AS n, max(CASE WHEN addr_rank = 1 THEN ref_id END) OVER q AS a FROM pool WINDOW q AS (PARTITION BY src, tgt_id)) p JOIN rec ON rec.rec_id = p.tgt_id) WHERE place <= budget")(lambda w: _out(retrieval.adaptive_budget(w.pool, w.records.where("src > 1").select("src", F.col("rec_id").alias("tgt_id"), "addr_missing", (F.col("name_indic") | F.col("addr_indic")).alias("indic"))), "src", "tgt_id", "ref_id", "budget"))
+query("adaptive_compaction", "SELECT src, tgt_id, ref_id, CAST(budget AS BIGINT) AS budget FROM (SELECT p.*, CASE WHEN n = a AND margin >= 0.05 THEN 1 WHEN trim(addr_raw) = '' OR n IS NULL OR a IS NULL OR n <> a THEN 3 ELSE 2 END AS budget FROM (SELECT *, max(CASE WHEN name_rank = 1 THEN ref_id END) OVER q AS n, max(CASE WHEN addr_rank = 1 THEN ref_id END) OVER q AS a FROM pool WINDOW q AS (PARTITION BY src, tgt_id)) p JOIN rec ON rec.rec_id = p.tgt_id) WHERE place <= budget")(lambda w: _out(retrieval.adaptive_budget(w.pool, w.views.where("src > 1").select("src", F.col("rec_id").alias("tgt_id"), "addr_missing", (F.col("name_indic") | F.col("addr_indic")).alias("indic"))), "src", "tgt_id", "ref_id", "budget"))
 _flip = {k: re.sub(r"\bsrc (= 1|> 1)", lambda m: "src > 1" if m[1] == "= 1" else "src = 1", v) for k, v in CTES.items() if k in ("posts", "stats", "qterms")}
 query("forward_candidates")(lambda w: _out(retrieval.candidate_edges(w.records.withColumn("src", F.when(F.col("src") == 1, 2).otherwise(1)))))
 O["forward_candidates"] = "WITH " + ",\n".join(f"{k} AS ({_flip.get(k, v)})" for k, v in CTES.items() if k in ("rec", "nrm", "vw", "trm", "fld", "posts", "dfm", "stats", "qterms", "plan16", "plan8", "hits", "lane", "wide", "fus", "rnk", "pool", "jhits", "joint", "edges")).replace("SELECT src, rec_id AS tgt_id", "SELECT 2 AS src, rec_id AS tgt_id") + "\nSELECT CAST(src AS BIGINT) AS src, tgt_id, ref_id, round(v, 6) AS v, name_rank, addr_rank, joint_rank, pool_size, name_score, addr_score, joint_score, round(margin, 6) AS margin FROM edges"
-query("address_pairs", "SELECT src, tgt_id, ref_id, row_number() OVER (PARTITION BY src, tgt_id ORDER BY dfs, ref_id) AS rank FROM (SELECT w.src, w.tgt_id, o.ref_id, sum(w.df) AS dfs FROM (SELECT *, row_number() OVER (PARTITION BY src, tgt_id ORDER BY term IS DISTINCT FROM number, df, term) AS k FROM (SELECT *, first_value(CASE WHEN regexp_matches(term, '\\d') THEN term END) OVER (PARTITION BY src, tgt_id ORDER BY regexp_matches(term, '\\d') DESC, df, term) AS number FROM (SELECT f.src, f.rec_id AS tgt_id, f.country, d.term, d.df FROM (SELECT src, rec_id, country, unnest(addr_set) AS term FROM ft WHERE src > 1) f JOIN dfm d ON d.field = 'addr' AND d.country = f.country AND d.term = f.term))) w JOIN posts o ON o.field = 'addr' AND o.country = w.country AND o.term = w.term WHERE w.k <= 2 GROUP BY ALL HAVING count(*) = 2) QUALIFY rank <= 8")(lambda w: _out(retrieval.address_pairs(w.records.where("src > 1"), w.dfs, w.posts)))
+query("address_pairs", "SELECT src, tgt_id, ref_id, row_number() OVER (PARTITION BY src, tgt_id ORDER BY dfs, ref_id) AS rank FROM (SELECT w.src, w.tgt_id, o.ref_id, sum(w.df) AS dfs FROM (SELECT *, row_number() OVER (PARTITION BY src, tgt_id ORDER BY term IS DISTINCT FROM number, df, term) AS k FROM (SELECT *, first_value(CASE WHEN regexp_matches(term, '\\d') THEN term END) OVER (PARTITION BY src, tgt_id ORDER BY regexp_matches(term, '\\d') DESC, df, term) AS number FROM (SELECT f.src, f.rec_id AS tgt_id, f.country, d.term, d.df FROM (SELECT src, rec_id, country, unnest(addr_set) AS term FROM ft WHERE src > 1) f JOIN dfm d ON d.field = 'addr' AND d.country = f.country AND d.term = f.term))) w JOIN posts o ON o.field = 'addr' AND o.country = w.country AND o.term = w.term WHERE w.k <= 2 GROUP BY ALL HAVING count(*) = 2) QUALIFY rank <= 8")(lambda w: _out(retrieval.address_pairs(w.sides.where("src > 1"), w.dfs, w.posts)))
 query("retrieval_screen", "SELECT 8 AS lane_k, 16 AS max_terms, 2 AS budget, 2 AS joint_k, country, count(*) AS links, count(*) FILTER (WHERE hit) AS found, round(count(*) FILTER (WHERE hit) / count(*), 6) AS recall, round(sum(pairs) / count(*), 6) AS pairs_per_query FROM (SELECT t.src, t.tgt_id, t.country, (SELECT count(*) FROM edges e WHERE e.src = t.src AND e.tgt_id = t.tgt_id) AS pairs, EXISTS (SELECT 1 FROM edges e WHERE e.src = t.src AND e.tgt_id = t.tgt_id AND e.ref_id = t.ref_id) AS hit FROM truth t) GROUP BY GROUPING SETS ((country), ())")(lambda w: _out(retrieval.screen(w.records, w.truth.select("src", "tgt_id", "ref_id"), [(8, 16, 2, 2)])))
 query("owner_rank_histogram", "SELECT CASE WHEN fused_rank <= 2 THEN 'rank_1_2' WHEN fused_rank <= 4 THEN 'rank_3_4' WHEN fused_rank <= 8 THEN 'rank_5_8' WHEN fused_rank <= 16 THEN 'rank_9_16' WHEN fused_rank <= 64 THEN 'gt16' ELSE 'not_top64' END AS bucket, count(*) AS n FROM truth t LEFT JOIN pool p USING (src, tgt_id, ref_id) GROUP BY 1")(lambda w: _out(w.truth.join(w.pool, ["src", "tgt_id", "ref_id"], "left").groupBy(decide.rank_bucket(F.col("fused_rank")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))))
-query("candidate_size_report", "SELECT round(avg(n), 6) AS mean, quantile_cont(n, 0.5)::DOUBLE AS median, quantile_cont(n, 0.9)::DOUBLE AS p90, round(quantile_cont(n, 0.95)::DOUBLE, 6) AS p95, round(quantile_cont(n, 0.99)::DOUBLE, 6) AS p99, max(n) AS most, round(avg((n = 0)::INT), 6) AS without, round(sum(tp) / sum(n_true), 6) AS micro_recall, round(avg(tp / n_true) FILTER (WHERE n_true > 0), 6) AS macro_recall, round(avg((tp > 0)::INT) FILTER (WHERE n_true > 0), 6) AS any_hit, round(avg((tp = n_true)::INT) FILTER (WHERE n_true > 0), 6) AS all_hit FROM ccnt")(lambda w: _out(decide.candidate_sizes(w.edges.select("ref_id", "tgt_id"), w.links, w.required)))
+query("candidate_size_report", "SELECT round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5)::DOUBLE, 6) AS median, round(quantile_cont(n, 0.9)::DOUBLE, 6) AS p90, round(quantile_cont(n, 0.95)::DOUBLE, 6) AS p95, round(quantile_cont(n, 0.99)::DOUBLE, 6) AS p99, max(n) AS most, round(avg((n = 0)::INT), 6) AS without, round(sum(tp) / sum(n_true), 6) AS micro_recall, round(avg(tp / n_true) FILTER (WHERE n_true > 0), 6) AS macro_recall, round(avg((tp > 0)::INT) FILTER (WHERE n_true > 0), 6) AS any_hit, round(avg((tp = n_true)::INT) FILTER (WHERE n_true > 0), 6) AS all_hit FROM ccnt")(lambda w: _out(decide.candidate_sizes(w.edges.select("ref_id", "tgt_id"), w.links, w.required)))
 # Features
 _J2 = lambda v: _J(f"r.{v}", f"t.{v}")
 _D2 = lambda a, b: f"(len(list_distinct(list_concat({a}, {b}))) - len(list_intersect({a}, {b})))"

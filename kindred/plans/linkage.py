@@ -228,6 +228,18 @@ class Linkage:
         bundle = self.release()
         return self.store.report(f"audit-{role}-{scale}", {"policy": bundle["policy"], "slices": self.evaluate(self.scores("train", scale), bundle["policy"], role, scale, least)})
 
+    def reselect(self, scale: float = 1.0, update: bool = False) -> dict:
+        """The frozen policy on D and K of an environment, and the one that would be chosen there on D; with `update` it
+        becomes the release's where it does better on D."""
+        bundle, s, truth = self.release(), written(self.scores("train", scale)), self.links()
+        required = self._required("D", scale)
+        found = decide.select_policy(decide.policy_table(self._inside(s, required), truth, required))
+        out = {"frozen": {r: self.evaluate(s, bundle["policy"], r, scale) for r in ("D", "K")}, "policy": found, "found": {r: self.evaluate(s, found, r, scale) for r in ("D", "K")}}
+        out["updated"] = update and found["macro"] > out["frozen"]["D"]["all"]["macro"]
+        if out["updated"]:
+            model.write_release(self.spark, f"{self.root}/release.json", {**bundle, "policy": found})
+        return self.store.report(f"reselect-{scale}", out)
+
     # Results
 
     def export(self, folder: str, taus: dict[str, float] | None = None) -> dict:

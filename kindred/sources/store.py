@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import hashlib
 import json
@@ -104,16 +105,37 @@ def code_state() -> str:
     return fingerprint(*(x for d in ("functions", "operators", "sources", "plans") for p in sorted((top / d).glob("*.py")) for x in (p.name, p.read_text())))
 
 
+_written: dict[str, SparkSession] = {}
+
+
+def _clear() -> None:
+    for at, spark in _written.items():
+        with contextlib.suppress(Exception):  # the session may have been stopped
+            Files(spark).delete(at)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, which ends its lineage."""
+    """df written to the shared folder and read back, which ends its lineage. The files go when the process ends."""
     spark = df.sparkSession
     at = f"{shared_root(spark)}/written-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
+    if not _written:
+        atexit.register(_clear)
+    _written[at] = spark
     return spark.read.schema(df.schema).parquet(at)
 
 
+def session_root(spark: SparkSession) -> str:
+    """A folder of this session's own under the shared one; it goes when the process ends."""
+    at = f"{shared_root(spark)}/kindred-{spark.sparkContext.applicationId}"
+    if not _written:
+        atexit.register(_clear)
+    _written[at] = spark
+    return at
+
+
 class Store:
-    """Stages by name under a folder. A stage is done if its manifest, written last, has the fingerprint of what it
+    """Stages by name under a folder, which one process at a time may write. A stage is done if its manifest, written last, has the fingerprint of what it
     would be made from now; else it is made beside the old one, moved into place, and what it replaces is deleted."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):

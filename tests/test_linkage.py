@@ -73,9 +73,14 @@ def test_from_files_to_checked_results(path):
     a, b = link.calibrate()["calibrator"]
     assert a <= 0
     assert {"all", "singletons"} <= set(link.audit("A", least=1)["slices"])
-    out = link.export(f"file://{at}/out")
+    again = link.reselect(update=True)
+    assert again["found"]["D"]["all"]["macro"] >= again["frozen"]["D"]["all"]["macro"] - 1e-9
+    from kindred.__main__ import main
+
+    step = ["--root", link.root, "--train", *link.train, "--truth", link.truth, "--test", *link.test, "--output", f"file://{at}/out"]
+    out = main(["export", *step])
     assert out["edges"] >= out["selected"] > 0 and out["multi_owner"] == 0
-    assert link.validate(f"file://{at}/out")["pass"]
+    assert main(["validate", *step])["pass"]
     said = {x.split("\t")[0]: set(x.rstrip("\n").split("\t")[1].split(",")) - {""} for x in open(f"{at}/out/matching_results.tsv").readlines()[1:]}
     assert set(said) == set(known) and sum(f_half(known[k], said[k]) for k in known) / len(known) > 0.6
 
