@@ -3,15 +3,15 @@
 Different vectors are the nodes; equal ones share a node. Lists start from exact neighbours inside small
 blocks (leaves of random-hyperplane trees fitted on a bounded sample, all rows assigned; leaves that are
 still large are halved by further hyperplanes). Rounds of NN-descent then bring each node's neighbours and
-reverse neighbours together by joins, and every pair of them is compared there, until a round changes less
-than a share of DELTA of all neighbours. A query starts at its own node and expands the nearest unexpanded
-nodes of its beam, a few for each hop, for all queries at once, until all beams are expanded. Found vectors
-are scored exactly.
+reverse neighbours together by joins, and every pair of which one is new there is compared, until a round
+changes less than a share of DELTA of all neighbours. A query starts at its own node and expands the nearest
+unexpanded nodes of its beam, a few for each hop, for all queries at once, until all beams are expanded; beams
+widen with the square root of the nodes. Found vectors are scored exactly.
 
 Defined cases: vectors that are null or zero, hold null, NaN or infinity, or are not of the most common
-length take no part, nor rows with a null vec_id; of rows with one vec_id the smallest vector counts;
-ties go to the smaller vec_id; with fewer candidates than asked all found are returned; an empty table
-gives no rows; columns beside vec_id and embedding are ignored.
+length take no part, nor rows with a null vec_id; rows of one vec_id are candidates each, and queries once for
+each of their vectors; ties go to the smaller vec_id; with fewer candidates than asked all found are returned; an
+empty table gives no rows; columns beside vec_id and embedding are ignored.
 """
 
 from __future__ import annotations
@@ -24,30 +24,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, table
+from .common import cut, drop, prepare, table
 
-DEGREE, TREES, LEAF, SAMPLE = 24, 4, 1000, 20_000
+DEGREE, TREES, LEAF, SAMPLE = 36, 4, 64, 20_000
 #: NN-descent ends with the first round that changes less than this share of the neighbours.
 DELTA = 0.01
 #: Reverse links that a search may follow from a node, the nearest first.
 BACK = 48
-#: Neighbours, and as many reverse ones, that a node brings together in a round.
-MEET = 12
+#: New neighbours, as many seen ones, and as many reverse ones of either kind, that a node brings together in a round.
+MEET = 18
 #: Up to so many queries are sent to where the vectors are; more meet them by a shuffle.
 BLOCK = 20_000
-BEAM, EXPAND, TOP = 256, 64, 10
+#: The least beam, and its growth with the square root of the nodes: neighbours among more nodes are harder to reach.
+BEAM, WIDEN, EXPAND, TOP = 256, 1.7, 96, 10
 _NB = "array<struct<d:float,n:bigint>>"
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """(vec_id, v): one valid vector for each id."""
+    """(vec_id, v) of the rows with a valid vector."""
     v = F.col("embedding").cast("array<double>")
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     got = rows.select("vec_id", F.when(ok, v).alias("v")).where("vec_id is not null and v is not null")
     sizes = got.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not sizes:
         return got
-    return got.where(F.size("v") == sizes[0][0]).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return got.where(F.size("v") == sizes[0][0])
 
 
 def matrix(col: pa.Array) -> np.ndarray:
@@ -80,7 +81,8 @@ def leaves(v: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int) -> np
 
 
 def gaps(v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Squared distances of the pairs (i, j), the same wherever a pair is met."""
+    """Squared distances of the pairs (i, j) of vectors in single precision, the same wherever a pair is met."""
+    v = v.astype(np.float32).astype(np.float64)
     d = v[i] - v[j]
     return (d * d).sum(-1).astype(np.float32)
 
@@ -164,30 +166,36 @@ def nearest(lists: DataFrame, degree: int) -> DataFrame:
     return lists.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("nb")))), 1, degree).alias("nb"))
 
 
-def first_of(edges: DataFrame, key: str, order: list[Column], most: int) -> DataFrame:
+def first_of(edges: DataFrame, key: str | list[str], order: list[Column], most: int) -> DataFrame:
     return edges.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("k") <= most).drop("k")
 
 
 def descend(nodes: DataFrame, graph: DataFrame, degree: int, meet: int, turn: int) -> DataFrame:
-    """One round: neighbours of a node meet, and keep what is nearer than their farthest."""
-    out = graph.select(F.col("id").alias("c"), F.explode(F.slice("nb", 1, degree)).alias("e")).select("c", F.col("e.n").alias("m"), F.col("e.d").alias("d"))
-    near = first_of(out, "c", [F.col("d") if turn == 0 else F.xxhash64("c", "m", F.lit(turn)), F.col("m")], meet)
-    back = first_of(out.select(F.col("m").alias("c"), F.col("c").alias("m"), "d"), "c", [F.xxhash64("c", "m", F.lit(turn)), F.col("m")], meet)
-    meets = near.select("c", "m").union(back.select("c", "m")).distinct()
+    """One round over (id, nb, seen): at every node neighbours and reverse neighbours meet, up to `meet` of each that are
+    new (not in seen) and as many others; pairs of which one is new are compared, and keep what is nearer than
+    their farthest. New neighbours that have met others are seen."""
+    new = ~F.array_contains("seen", F.col("e.n"))
+    out = graph.select(F.col("id").alias("c"), "seen", F.explode("nb").alias("e")).select("c", F.col("e.n").alias("m"), new.alias("new"))
+    lot = lambda *x: [F.xxhash64(*x, F.lit(turn)), F.col("m")]
+    near = cut(first_of(out, ["c", "new"], lot("c", "m"), meet))
+    back = first_of(out.select(F.col("m").alias("c"), F.col("c").alias("m"), "new"), ["c", "new"], lot("c", "m"), meet)
+    meets = near.union(back).groupBy("c", "m").agg(F.max("new").alias("new"))
     far = graph.select(F.col("id").alias("m"), F.when(F.size("nb") >= degree, F.element_at("nb", -1)["d"]).otherwise(F.lit(float("inf")).cast("float")).alias("far"))
     known = nodes.select(F.col("id").alias("m"), F.col("v").cast("array<float>").alias("v")).join(far, "m")
-    rooms = meets.join(known, "m").groupBy("c").agg(F.collect_list("m").alias("ids"), F.collect_list("far").alias("far"), F.collect_list("v").alias("v"))  # 2 * meet members at most
+    rooms = meets.join(known, "m").groupBy("c").agg(F.collect_list(F.struct("m", "new", "far", "v")).alias("x")).where(F.exists("x", lambda m: m["new"]))  # 4 * meet members at most
 
     def run(batches):
         for b in batches:
-            ids_, far_ = b.column(0), b.column(1)
-            for r in range(b.num_rows):
-                ids, kth = ids_[r].values.to_numpy(), far_[r].values.to_numpy()
-                v = matrix(b.column(2)[r].values)
-                m = len(ids)
-                if m < 2:
-                    continue
-                i, j = np.nonzero(~np.eye(m, dtype=bool))
+            x = b.column(0)
+            off, x = x.offsets.to_numpy(), x.values
+            ids_, new_, far_ = (x.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            v_ = matrix(x.field(3)).astype(np.float32)
+            for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                m, ids, fresh, kth, v = e - s, ids_[s:e], new_[s:e], far_[s:e], v_[s:e]
+                sq = (v * v).sum(1)
+                rough = sq[:, None] + sq[None, :] - 2 * (v @ v.T)
+                rough *= 1 - 1e-4  # what may be near enough is measured exactly
+                i, j = np.nonzero((fresh[:, None] | fresh[None, :]) & ~np.eye(m, dtype=bool) & (rough < kth[:, None] + 1e-4 * sq[:, None]))
                 d = gaps(v, i, j)
                 keep = d < kth[i]
                 i, j, d = i[keep], j[keep], d[keep]
@@ -207,8 +215,12 @@ def descend(nodes: DataFrame, graph: DataFrame, degree: int, meet: int, turn: in
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    better = rooms.select("ids", "far", "v").mapInArrow(batched, f"id long, nb {_NB}")
-    return nearest(graph.unionByName(better), degree)
+    better = rooms.select("x").mapInArrow(batched, f"id long, nb {_NB}")
+    merged = nearest(graph.select("id", "nb").unionByName(better), degree)
+    met = near.where("new").groupBy("c").agg(F.collect_list("m").alias("met")).withColumnRenamed("c", "id")
+    none = F.array().cast("array<bigint>")
+    seen = F.array_intersect(F.transform("nb", lambda e: e["n"]), F.concat("seen", F.coalesce("met", none)))
+    return merged.join(graph.select("id", "seen"), "id").join(met, "id", "left").select("id", "nb", seen.alias("seen"))
 
 
 def changed(old: DataFrame, new: DataFrame) -> float:
@@ -220,24 +232,28 @@ def changed(old: DataFrame, new: DataFrame) -> float:
     return n / m if m else 0.0
 
 
-def build_graph(nodes: DataFrame, degree: int = DEGREE, delta: float = DELTA, leaf: int = LEAF) -> DataFrame:
+def build_graph(nodes: DataFrame, degree: int = 0, delta: float = 0.0, leaf: int = 0) -> DataFrame:
     """(id, nb) of every node (id, v): its nearest found, nearest first. Lists only get nearer, so rounds end."""
     prepare(nodes.sparkSession)
-    graph = cut(nearest(start_lists(nodes, nodes.count(), degree, leaf), degree))
+    degree, delta, leaf = degree or DEGREE, delta or DELTA, leaf or LEAF
+    graph = cut(nearest(start_lists(nodes, nodes.count(), degree, leaf), degree).withColumn("seen", F.array().cast("array<bigint>")))
     for turn in itertools.count():
         old, graph = graph, cut(descend(nodes, graph, degree, MEET, turn))
-        if changed(old, graph) < delta:
-            return graph
+        few = changed(old, graph) < delta
+        drop(old)
+        if few:
+            return graph.select("id", "nb")
 
 
 def square(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = 0, expand: int = 0) -> DataFrame:
     """(q, beam) of queries (q, node, v): nodes met, nearest first, the query's own included; all are expanded.
 
     A beam's farthest only gets nearer, so no node is expanded twice and the hops end."""
+    beam, expand = beam or max(BEAM, int(WIDEN * nodes.count() ** 0.5)), expand or EXPAND
     out = graph.select("id", F.explode("nb").alias("e")).select("id", F.col("e.n").alias("n"), F.col("e.d").alias("d"))
     back = first_of(out.select(F.col("n").alias("id"), F.col("id").alias("n"), "d"), "id", [F.col("d"), F.col("n")], BACK)
     links = cut(out.select("id", "n").union(back.select("id", "n")).groupBy("id").agg(F.collect_set("n").alias("ns")))
@@ -264,17 +280,18 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
 def nearest_neighbours(rows: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score): of the rows (vec_id, embedding) that are queries, the nearest others."""
     prepare(rows.sparkSession)
-    vectors = cut(usable(rows))
-    nodes = cut(vectors.groupBy("v").agg(F.min("vec_id").alias("id")).select("id", "v"))
-    of = vectors.join(nodes, "v").select("vec_id", "id", "v")
-    members = first_of(of.select("id", "vec_id"), "id", [F.col("vec_id")], top + 1)
-    queries = of.where(is_query).select(F.col("vec_id").alias("q"), F.col("id").alias("node"), "v")
-    state = search(nodes, build_graph(nodes), queries)
+    vectors = cut(usable(rows).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies")).withColumn("id", F.xxhash64("v")))
+    nodes = cut(vectors.groupBy("id").agg(F.first("v").alias("v")))
+    each = vectors.select("id", "vec_id", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(top + 1)))).alias("copy"))
+    members = first_of(each, "id", [F.col("vec_id"), F.col("copy")], top + 1)
+    queries = cut(vectors.where(is_query).select(F.xxhash64("vec_id", "id").alias("q"), "vec_id", F.col("id").alias("node"), "v"))
+    state = search(nodes, build_graph(nodes), queries.select("q", "node", "v"))
     near = state.select("q", "v", F.explode(F.slice("beam", 1, top + 1)).alias("b")).select("q", "v", F.col("b.n").alias("id"))
     scored = near.join(nodes.select("id", F.col("v").alias("w")), "id").select("q", "id", F.sqrt(square("v", "w")).alias("score"))
-    each = scored.join(members, "id").where("vec_id <> q")
+    asked = queries.select("q", F.col("vec_id").alias("query_id"), "node")
+    found = scored.join(members, "id").join(asked, "q").where(~((F.col("vec_id") == F.col("query_id")) & (F.col("id") == F.col("node")) & (F.col("copy") == 1)))
     rank = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= top).select(F.col("q").alias("query_id"), "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

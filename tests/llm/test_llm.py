@@ -245,6 +245,10 @@ def test_neighbours_against_brute_force(spark):
     rows = [(i, [float(x) for x in v[i]]) for i in range(600)] + [(700, None), (800, [0.0] * 8), (900, [float("nan")] * 8), (1000, [1.0] * 7 + [None])]
     got = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect()
     hit = 0
+    again = rows + [(100, [float(x) for x in v[7]]), (3, [float(x) for x in v[100]]), (100, [float(x) for x in v[100]])]
+    few = ann.nearest_neighbours(spark.createDataFrame([(*x, "clash") for x in again], "vec_id long, embedding array<float>, v string"), F.col("vec_id") == 100).collect()
+    assert len(few) == 20 and sorted(x.vec_id for x in few if x.score == 0) == [3, 7, 100]
+    assert ann.nearest_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") == 100).count() == 0
     for q in range(0, 600, 100):
         d = np.sqrt(((v.astype(float) - v[q].astype(float)) ** 2).sum(1))
         d[q] = np.inf
@@ -265,11 +269,25 @@ def test_large_leaves_keep_neighbours_together(spark, monkeypatch):
     assert np.mean([len(got[i] & set(np.argsort(d[i])[:8].tolist())) / 8 for i in range(1600)]) > 0.85
 
 
+def test_descent_carries_the_result(spark):
+    v = np.random.default_rng(6).standard_normal((5000, 12))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    d = ((v[::50, None] - v[None]) ** 2).sum(-1)
+    d[np.arange(100), np.arange(0, 5000, 50)] = np.inf
+    best = np.argsort(d, 1)[:, :10]
+    nodes = cut(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>"))
+    share = lambda g: np.mean([len(set(g[50 * k][:10]) & set(best[k].tolist())) / 10 for k in range(100)])
+    lists = lambda df: {r.id: [e["n"] for e in r.nb] for r in df.where("id % 50 = 0").collect()}
+    start = share(lists(ann.nearest(ann.start_lists(nodes, 5000, 24, 64), 24)))
+    assert start < 0.75 < 0.97 < share(lists(ann.build_graph(nodes, degree=24)))
+
+
 def test_search_ends_with_expanded_beams(spark):
     v = np.random.default_rng(4).standard_normal((400, 4))
     nodes = cut(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>"))
     graph = ann.build_graph(nodes, degree=6, leaf=20)
-    assert ann.changed(graph, ann.descend(nodes, graph, 6, ann.MEET, 99)) < 3 * ann.DELTA
+    unseen = graph.withColumn("seen", F.array().cast("array<bigint>"))
+    assert ann.changed(graph, ann.descend(nodes, unseen, 6, ann.MEET, 99)) < 3 * ann.DELTA
     state = ann.search(nodes, graph, nodes.where("id < 3").select(F.col("id").alias("q"), F.col("id").alias("node"), "v"), beam=100, expand=8).collect()
     assert len(state) == 3 and all(b["x"] for r in state for b in r.beam)
 
