@@ -27,6 +27,8 @@ from .common import ascii_lower, cut, table
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 MIN_PAGES, MIN_SHARE = 5, 0.01
+#: Up to so many segments of nodes are sent to all tasks.
+SENT = 100_000
 #: Pages that the prior counts for, and the smoothed share of blocked pages from which a template is rejected.
 PRIOR, REJECT = 4.0, 0.8
 #: Rates closer than so many standard errors are alike.
@@ -69,10 +71,12 @@ def templates(paths: DataFrame, least: int = MIN_PAGES, share: float = MIN_SHARE
         unlike = F.array_position(F.zip_with("lo", "hi", lambda x, y: x.eqNullSafe(y)), False)
         common = F.when(unlike == 0, F.least(F.size("lo"), F.size("hi"))).otherwise(unlike - 1).cast("int")
         state = F.when((F.col("all") < least) & (F.col("lo") != F.col("hi")), "few").when(F.col("lo") == F.col("hi"), "one").when(common > 0, "skip").otherwise("split")
-        nodes = nodes.select(*node, "all", state.alias("state"), common.alias("common"))
+        nodes = cut(nodes.select(*node, "all", state.alias("state"), common.alias("common")))
         frequent = (F.col("m") >= least) & (F.col("m") >= share * F.col("all")) & F.col("seg").isNotNull()
         kept = segs.join(nodes.where("state = 'split'"), node).where(frequent).select(*node, "seg", F.lit(True).alias("literal"))
-        each = now.join(nodes.drop("all"), node).join(kept, [*node, "seg"], "left")
+        # Few nodes are sent to where the paths are, so a large node's paths need not meet in one task.
+        side = F.broadcast if segs.count() <= SENT else lambda df: df
+        each = now.join(side(nodes.drop("all")), node).join(side(kept), [*node, "seg"], "left")
         whole = (F.col("state") == "one") | F.col("seg").isNull()
         ends = F.when(whole, literal(F.col("rest"))).otherwise("/**")
         stars = F.when(whole, F.repeat(F.lit("/*"), F.size("rest"))).otherwise("/**")
