@@ -33,8 +33,8 @@ DELTA = 0.01
 BACK = 48
 #: New neighbours, as many seen ones, and as many reverse ones of either kind, that a node brings together in a round.
 MEET = 18
-#: Up to so many queries are sent to where the vectors are; more meet them by a shuffle.
-BLOCK = 20_000
+#: Up to so many places in beams, 8 bytes each, are sent to where the vectors are; more meet them by a shuffle.
+PLACES = 2_000_000
 #: The least beam, and its growth with the square root of the nodes: neighbours among more nodes are harder to reach.
 BEAM, WIDEN, EXPAND, TOP = 256, 1.7, 96, 10
 _NB = "array<struct<d:float,n:bigint>>"
@@ -260,15 +260,17 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = 0
     kind = "array<struct<d:double,n:bigint,x:boolean>>"
     own = F.array(F.struct(F.lit(0.0).alias("d"), F.col("node").alias("n"), F.lit(False).alias("x"))).cast(kind)
     state = cut(queries.select("q", "v", own.alias("beam")))
-    few = state.count() <= BLOCK
+    asked = queries.select("q", "v")
+    few = state.count() * beam <= PLACES
     while not state.where(F.exists("beam", lambda b: ~b["x"])).isEmpty():
         todo = F.slice(F.filter("beam", lambda b: ~b["x"]), 1, expand)
         open_ = state.select("q", F.explode(F.transform(todo, lambda b: b["n"])).alias("id"))
         met = open_.join(links, "id").select("q", F.explode("ns").alias("id")).distinct()
-        seen = state.select("q", "v", F.transform("beam", lambda b: b["n"]).alias("have"))
-        near = met.join(nodes.select("id", F.col("v").alias("w")), "id")
-        fresh = near.join(F.broadcast(seen) if few else seen, "q").where(~F.array_contains("have", F.col("id")))
-        scored = fresh.select("q", F.struct(square("v", "w").alias("d"), F.col("id").alias("n"), F.lit(False).alias("x")).alias("b"))
+        # What a beam knows already is dropped before vectors are fetched.
+        seen = state.select("q", F.transform("beam", lambda b: b["n"]).alias("have"))
+        fresh = met.join(F.broadcast(seen) if few else seen, "q").where(~F.array_contains("have", F.col("id"))).select("q", "id")
+        near = fresh.join(nodes.select("id", F.col("v").alias("w")), "id").join(F.broadcast(asked) if few else asked, "q")
+        scored = near.select("q", F.struct(square("v", "w").alias("d"), F.col("id").alias("n"), F.lit(False).alias("x")).alias("b"))
         found = scored.groupBy("q").agg(F.collect_list("b").alias("new"))
         state = state.withColumn("todo", F.transform(todo, lambda b: b["n"]))
         done = F.transform("beam", lambda b: F.struct(b["d"].alias("d"), b["n"].alias("n"), (b["x"] | F.array_contains("todo", b["n"])).alias("x")))
