@@ -113,13 +113,12 @@ class Linkage:
         key = [*key, str(asdict(self.recipe))]
         name = f"{part}-{scale}"
         refs, targets, r = world.where("src = 1"), world.where("src > 1"), self.recipe
-        posts = self.store.table(f"postings-{name}", key, lambda: retrieval.postings(refs))
         stats = self.store.table(f"stats-{name}", key, lambda: retrieval.corpus_stats(refs))
-        dfs = self.store.table(f"df-{name}", key, lambda: retrieval.df_map(posts))
+        dfs = self.store.table(f"df-{name}", key, lambda: retrieval.df_map(retrieval.postings(refs)))
         plan = self.store.table(f"terms-{name}", key, lambda: retrieval.rare_terms(targets, dfs, max(r.max_terms, retrieval.JOINT_TERMS)))
-        pool = self.store.table(f"pool-{name}", key, lambda: retrieval.fuse(retrieval.lanes(plan.where(F.col("k") <= r.max_terms), posts, stats, r.lane_k)))
-        joined = lambda: retrieval.joint(plan.where(F.col("k") <= retrieval.JOINT_TERMS), posts, stats, r.joint_k)
-        out = self.store.table(f"edges-{name}", key, lambda: retrieval.with_joint(pool, joined(), r.budget) if r.joint_k else retrieval.with_joint(pool, joined().limit(0), r.budget))
+        found = self.store.table(f"found-{name}", key, lambda: retrieval.search(plan, refs, stats, r.lane_k, r.max_terms, r.joint_k))
+        pool = self.store.table(f"pool-{name}", key, lambda: retrieval.fuse(retrieval.lanes(found)))
+        out = self.store.table(f"edges-{name}", key, lambda: retrieval.with_joint(pool, retrieval.joint(found), r.budget))
         self.store.report(f"retrieve-{name}", asdict(r))
         return out
 
