@@ -15,7 +15,8 @@ Defined cases: null and empty texts have fingerprint zero and are linked like an
 fingerprints are one node; a component whose ids are all null has a null id; repeated rows share
 their component; columns beside doc_id and text are ignored by the query and kept by the stage.
 
-All this is the query's. The pipeline's stage keeps one text of those with like sets of five-word runs (nearcopies).
+The pipeline's stage finds candidates in this same way, and takes those for near copies whose sets of five-word runs are
+alike. Near copies whose fingerprints differ in more bits are then found by their sets (nearcopies).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh, prepare, table
 from .components import connected_components
-from .nearcopies import components, run_sets
+from .nearcopies import checked, components, run_sets
 
 SHINGLE, SEED, BITS = 3, 42, 2
 CELL = 32
@@ -134,6 +135,14 @@ def roots(fps: DataFrame, cell: int = CELL) -> DataFrame:
     return at.join(at.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
 
 
+def near(docs: DataFrame, sets: DataFrame, cell: int = CELL) -> DataFrame:
+    """Edges (a, b) of nodes of run_sets(docs): of each component of fingerprints every node that is a near copy of its first."""
+    comps = connected_components(links(cut(sets.select("fp").distinct()), cell)).select(F.col("node").alias("fp"), "root")
+    rooted = cut(sets.select("node", "fp").distinct().join(comps, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")).distinct())
+    firsts = rooted.groupBy("root").agg(F.min("node").alias("first"))
+    return checked(docs, sets, rooted.join(firsts, "root").where("node <> first").select("node", "first").distinct())
+
+
 def hexed(fp: str):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -146,7 +155,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: the smallest id's; of several texts under it, that of the smallest hash."""
     sets = cut(run_sets(docs))
-    rooted = cut(sets.select("doc_id", "th", "node").join(components(docs, sets), "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root")))
+    rooted = cut(sets.select("doc_id", "th", "node").join(components(docs, sets, linked=near(docs, sets)), "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     at = rooted.join(least, "root").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = cut(at.groupBy("root").agg(F.min("doc_id").alias("k_id"), F.min("th").alias("k_th"), F.count(F.lit(1)).alias("k_n")))

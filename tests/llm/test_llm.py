@@ -238,6 +238,38 @@ def test_stage_drops_near_copies(spark):
     assert len(kept) == len(set(kept)) and set(kept) <= set(firsts)
 
 
+def test_stage_takes_candidates_from_fingerprints(spark, monkeypatch):
+    """What two bits tell is linked by fingerprints and an exact check alone; the sets find the rest, in slices or at once."""
+    r = random.Random(5)
+    long = [f"w{r.randrange(10**6)}" for _ in range(600)]
+    line = "a very common line of words " * 60
+    texts = [" ".join(long), " ".join([*long[:-1], "x"]), line + " ".join(long[:20]), line + " ".join(long[20:40]), " ".join(long[:300]), "", " "]
+    assert (simhash.fingerprint(texts[0].encode()) ^ simhash.fingerprint(texts[1].encode())).bit_count() <= 2
+    d = docs(spark, texts, False)
+    sets = cut(nearcopies.run_sets(d))
+    node = {x.doc_id: x.node for x in sets.collect()}
+    fp = {x.doc_id: x.fp for x in sets.collect()}
+    assert fp == {i: (f := simhash.fingerprint(t.encode())) - (f >> 63 << 64) for i, t in enumerate(texts)}
+    linked = simhash.near(d, sets)
+    assert {frozenset(x) for x in linked.collect()} == {frozenset({node[0], node[1]})}
+    given = []
+    monkeypatch.setattr(simhash, "components", lambda *a, linked, **k: given.append(linked.count()) or nearcopies.components(*a, linked=linked, **k))
+    assert sorted(x.doc_id for x in simhash.stage(spark, d, "").collect()) == [0, 2, 3, 4, 5] and given == [1]
+
+
+def test_near_copies_in_slices(spark, monkeypatch):
+    texts = near_copies()
+    d = docs(spark, texts, False)
+    sets = cut(nearcopies.run_sets(d))
+    want = {tuple(x) for x in nearcopies.components(d, sets, 3).collect()}
+    monkeypatch.setattr(nearcopies, "FEW", 0)
+    monkeypatch.setattr(nearcopies, "SLICES", 2)
+    made = []
+    monkeypatch.setattr(nearcopies, "_walked", lambda members, many, f=nearcopies._walked: made.append({r.run for r in members.select("run").distinct().collect()}) or f(members, many))
+    assert {tuple(x) for x in nearcopies.components(d, sets, 3, linked=simhash.near(d, sets)).collect()} == want
+    assert len(made) == 2 and not made[0] & made[1] and made[0] | made[1]
+
+
 def test_neighbours_against_brute_force(spark):
     r = np.random.default_rng(1)
     v = r.standard_normal((600, 8)).astype(np.float32)
