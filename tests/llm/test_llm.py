@@ -324,6 +324,21 @@ def test_search_ends_with_expanded_beams(spark):
     assert len(state) == 3 and all(b["x"] for r in state for b in r.beam)
 
 
+def test_search_in_rounds_and_lists_over_batches(spark, monkeypatch):
+    v = np.random.default_rng(7).standard_normal((400, 4))
+    nodes = cut(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>"))
+    d = ((v[:, None] - v[None]) ** 2).sum(-1)
+    lists = spark.createDataFrame([(i, [(float(d[i, j]), int(j)) for j in np.argsort(d[i])[k : k + 9]]) for i in range(400) for k in range(1, 5)], "id long, nb array<struct<d:float,n:bigint>>")
+    graph = cut(ann.nearest(lists.union(lists), 7))  # every list twice, and those of an id share most of theirs
+    assert {r.id: [e["n"] for e in r.nb] for r in graph.collect()} == {i: np.argsort(d[i])[1:8].tolist() for i in range(400)}
+    rounds, walk = [], ann.walk
+    monkeypatch.setattr(ann, "walk", lambda *x: rounds.append(1) or walk(*x))
+    monkeypatch.setattr(ann, "PLACES", 8)  # two queries' components
+    queries = nodes.where("id < 5").select(F.col("id").alias("q"), F.col("id").alias("node"), "v")
+    got = {r.q: [b["n"] for b in r.beam][:10] for r in ann.search(nodes, graph, queries, beam=60, expand=8).collect()}
+    assert len(rounds) == 3 and got == {i: np.argsort(d[i])[:10].tolist() for i in range(5)}
+
+
 def labelled(spark, n=240):
     rows, labels = [], []
     for i in range(n):
